@@ -4,13 +4,27 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kindred.llm import bpe, packing
+from kindred.llm import bpe, exact, neardup, packing, topk
 from kindred.llm.common import read
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+def op5_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), words=2)
+
+
+def op7_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.deduplicate(read(spark, sf_dir, "documents"))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), WORDS, 2048, 0)
 
@@ -19,5 +33,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), WORDS)
 
 
-QUERIES = {f.__name__: f for f in (op8_pack, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_topk, op5_minmax, op7_exact, op8_pack, op10_bpe)}
 ORACLE: dict[str, str] = {}
