@@ -19,18 +19,20 @@ import json
 import re
 import struct
 import unicodedata
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from kindred.llm.common import chunks, slices
+from kindred.llm.common import chunks, slices, utf8
 
-#: Entries of a worker's caches of chunks and words; a full cache is emptied.
-CHUNKS, WORDS = 700_000, 300_000
+#: Entries of a worker's caches: chunks (a generation of two), words, pairs of tokens. Full ones are emptied.
+CHUNKS, WORDS, PAIRS = 250_000, 200_000, 1_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -80,7 +82,8 @@ class WordBpe:
         self._pair: dict[int, bool] = {}
         self._words: dict[str | bytes, bytes] = {}
         self._chunks: dict[str, bytes] = {}
-        self._texts: dict[bytes, str] = {}
+        self._older: dict[str, bytes] = {}
+        self._suffixes()
         #: Chunks of these characters are split here, as all versions of Unicode treat them alike; others by the library.
         self._plain = re.compile("[\x00-\x7f¡-įı-ſ‐-‧]*").fullmatch
         self._split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
@@ -100,17 +103,53 @@ class WordBpe:
         """Whether BPE gives just these two tokens for their symbols (left -1: just the one)."""
         parts = [] if left < 0 else [left]
         ok = self.merged([x for t in [*parts, right] for x in self._parts[t]]) == [*parts, right]
-        if len(self._pair) > 4_000_000:
+        if len(self._pair) > PAIRS:
             self._pair.clear()
         self._pair[left << 17 | right] = ok
         return ok
 
+    def _suffixes(self) -> None:
+        """An automaton over bytes whose state knows the tokens within a word that end here, longest first."""
+        goto: list[dict[int, int]] = [{}]
+        own = [-1]
+        for token in self.inner:
+            at = 0
+            for c in token:
+                if c not in goto[at]:
+                    goto[at][c] = len(goto)
+                    goto.append({})
+                    own.append(-1)
+                at = goto[at][c]
+            own[at] = len(token)
+        self._fail, self._ends = [0] * len(goto), [()] * len(goto)
+        queue = deque([(0, b"")])
+        while queue:
+            at, text = queue.popleft()
+            for c, to in goto[at].items():
+                up = self._fail[at]
+                while at and up and c not in goto[up]:
+                    up = self._fail[up]
+                self._fail[to] = goto[up].get(c, 0) if at else 0
+                longer = text + bytes([c])
+                self._ends[to] = (((self.inner[longer], own[to]),) if own[to] > 0 else ()) + self._ends[self._fail[to]]
+                queue.append((to, longer))
+        self._goto = goto
+        self._step: dict[int, int] = {}
+
+    def _next(self, at: int, c: int) -> int:
+        up = at
+        while up and c not in self._goto[up]:
+            up = self._fail[up]
+        self._step[at << 8 | c] = to = self._goto[up].get(c, 0)
+        return to
+
     def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
         """The ids of distinct non-empty words, as little-endian unsigned 32-bit integers."""
         out: dict[bytes, bytes] = {}
-        inner, last, known, fits, longest = self.inner.get, self.last.get, self._pair.get, self._fits, self.longest
-        # The path of trie nodes: the last token of the prefix that ends there, and where that token begins.
-        token, begin, before = [-1], [0], b""
+        last, known, fits, longest, step, ends = self.last.get, self._pair.get, self._fits, self.longest, self._step.get, self._ends
+        # The path of trie nodes: the last token of the prefix that ends there, where that token begins, and the state
+        # that knows which tokens end there.
+        token, begin, state, before = [-1], [0], [0], b""
         for w in sorted(words):
             n = len(w)
             top = min(n - 1, len(token) - 1)
@@ -119,17 +158,20 @@ class WordBpe:
                 while before[k] == w[k]:
                     k += 1
                 top = k
-            del token[top + 1 :], begin[top + 1 :]
+            del token[top + 1 :], begin[top + 1 :], state[top + 1 :]
+            at = state[top]
             for i in range(top + 1, n):
-                for j in range(max(0, i - longest), i):
-                    t = inner(w[j:i])
-                    if t is not None:
-                        p = token[j]
-                        ok = known(p << 17 | t)
-                        if fits(p, t) if ok is None else ok:
-                            token.append(t)
-                            begin.append(j)
-                            break
+                c = w[i - 1]
+                to = step(at << 8 | c)
+                at = self._next(at, c) if to is None else to
+                for t, size in ends[at]:
+                    p = token[i - size]
+                    ok = known(p << 17 | t)
+                    if fits(p, t) if ok is None else ok:
+                        token.append(t)
+                        begin.append(i - size)
+                        state.append(at)
+                        break
                 else:
                     raise ValueError(f"no token ends the prefix {w[:i]!r}")
             for j in range(max(0, n - longest), n):
@@ -157,30 +199,55 @@ class WordBpe:
             return [x.encode() for x in self._split(unicodedata.normalize("NFC", chunk).lower())]
         return [bytes(self._byte[ord(c)] for c in x) for x, _ in self._pre.pre_tokenize_str(self._normalizer.normalize_str(chunk))]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        dealt = [chunks(t) for t in texts]
-        new = set().union(*dealt).difference(self._chunks)
-        if len(self._chunks) + len(new) > CHUNKS:
-            self._chunks.clear()
-            self._texts.clear()
-            new = set().union(*dealt)
-        if new:
+    def _ids(self, found: list[str]) -> list[bytes]:
+        """The ids of distinct chunks. Of two generations of the cache, the older one goes when the newer is full."""
+        new, old = self._chunks, self._older
+        if len(new) > CHUNKS:
+            self._older = old = new
+            self._chunks = new = {}
+        missing = []
+        for c in found:
+            if c not in new:
+                if c in old:
+                    new[c] = old[c]
+                else:
+                    missing.append(c)
+        if missing:
             parts: dict[str, list] = {}
-            for c in new:
+            for c in missing:
                 if self._special and "<|" in c:
                     parts[c] = [self.special[x] if x in self.special else self._pieces(x) for x in self._special.split(c) if x]
                 else:
                     parts[c] = [self._pieces(c)]
-            words = {w for p in parts.values() for x in p if not isinstance(x, int) for w in x}
             if len(self._words) > WORDS:
                 self._words.clear()
             ids = self._words
-            ids.update(self.encode_words([w for w in words if w not in ids]))
+            ids.update(self.encode_words([w for w in {w for p in parts.values() for x in p if not isinstance(x, int) for w in x} if w not in ids]))
             for c, p in parts.items():
-                self._chunks[c] = b"".join(struct.pack("<I", x) if isinstance(x, int) else b"".join(map(ids.__getitem__, x)) for x in p)
-        at = self._chunks.__getitem__
-        return [b"".join(map(at, d)) for d in dealt]
+                new[c] = b"".join(struct.pack("<I", x) if isinstance(x, int) else b"".join(map(ids.__getitem__, x)) for x in p)
+        return list(map(new.__getitem__, found))
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        data, _ = utf8(column)
+        if ((data >= 0x1C) & (data <= 0x1F)).any():  # Arrow takes these for white space, Unicode doesn't
+            dealt = pa.array([chunks(t) for t in column.to_pylist()], pa.large_list(pa.large_string()))
+        else:
+            dealt = pc.utf8_split_whitespace(column)
+        ends = dealt.offsets.to_numpy()
+        coded = dealt.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+        distinct = self._ids(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, distinct), np.int64, len(distinct)) // 4
+        first = np.cumsum(size) - size
+        which = coded.indices.to_numpy()
+        each = size[which]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        at = np.repeat((first[which] - upto[:-1]), each)
+        at += np.arange(len(at))
+        ids = memoryview(np.frombuffer(b"".join(distinct), "<u4")[at].tobytes())
+        cut = (4 * upto[ends - ends[0]]).tolist()
+        return [bytes(ids[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids as the library gives it for a file without a decoder: the tokens, a space between any two."""
@@ -205,15 +272,14 @@ def vocabulary(path: str) -> str:
         return f.read()
 
 
-def encoded(docs: DataFrame, path: str, make: Callable[[WordBpe, pa.RecordBatch, list[str], list[bytes]], pa.RecordBatch], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, path: str, make: Callable[[WordBpe, pa.RecordBatch, list[bytes]], pa.RecordBatch], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows that ``make`` derives from batches of (id, text) with their ids."""
     source = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(source.value)
-        for batch, column in slices(batches):
-            texts = column.to_pylist()
-            yield make(own, batch, texts, own.encode(texts))
+        for batch, column in slices(batches, limit=8 << 20):
+            yield make(own, batch, own.encode(column))
 
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, schema)
 
@@ -221,7 +287,7 @@ def encoded(docs: DataFrame, path: str, make: Callable[[WordBpe, pa.RecordBatch,
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<long>) of each row."""
 
-    def make(own: WordBpe, batch: pa.RecordBatch, texts: list[str], ids: list[bytes]) -> pa.RecordBatch:
+    def make(own: WordBpe, batch: pa.RecordBatch, ids: list[bytes]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in ids], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
     return encoded(docs, path, make, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<long>", id_col, text_col)
@@ -242,7 +308,7 @@ def decode(ids: DataFrame, path: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids and of the decoded text, for each row."""
 
-    def make(own: WordBpe, batch: pa.RecordBatch, texts: list[str], ids: list[bytes]) -> pa.RecordBatch:
+    def make(own: WordBpe, batch: pa.RecordBatch, ids: list[bytes]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(own.decode(x).encode()).hexdigest() for x in ids], pa.string())],
             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

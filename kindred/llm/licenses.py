@@ -85,6 +85,10 @@ def _seeded(b: int):
     return lambda v: F.xxhash64(v, F.lit(b))
 
 
+def _sketch(shingles: Column) -> Column:
+    return F.array(*(F.array_min(F.transform(shingles, _seeded(b))) for b in range(BANDS)))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, containment (the best window's), first_word (of the first matching window) and n_windows."""
     spark = docs.sparkSession
@@ -101,22 +105,21 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
             some = some | low.contains(w)
         near = base.filter(some)
     worded = near.select("doc_id", text_words(F.col("text")).alias("words"))
-    # The templates' own hashes come from the same functions, as one row that folds to constants.
     parts = []
     for k, stride, width in sorted({x[2:] for x in own}):
+        # The templates' hashes come from the same functions, once, and enter the plan as constants.
         group = [x for x in own if x[2:] == (k, stride, width)]
-        table = F.array(*(F.struct(F.lit(name).alias("license"), F.array(*(_hash([F.lit(w) for w in s], k) for s in shingles)).alias("s")) for name, shingles, *_ in group))
-        every = F.flatten(F.transform(table, lambda t: t["s"]))
+        table = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(name).alias("license"), F.array(*(_hash([F.lit(w) for w in s], k) for s in shingles)).alias("s")) for name, shingles, *_ in group))).alias("t"))
+        sketched = table.select("t.license", "t.s", _sketch(F.col("t.s")).alias("tb")).collect()
+        every = F.lit(sorted({v for r in sketched for v in r["s"]}))
         count = F.size("words") - F.lit(k - 1)
         hashes = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), _at(k))).otherwise(F.array().cast("array<bigint>"))
         held = worded.select("doc_id", hashes.alias("h")).filter(F.arrays_overlap("h", every))
         starts = F.sequence(F.lit(0), F.greatest(F.size("h") - F.lit(width), F.lit(0)) + F.lit(stride - 1), F.lit(stride))
         windows = held.select("doc_id", F.explode(F.filter(F.transform(starts, _window(width)), _overlaps(every))).alias("x"))
-        sketch = lambda shingles: F.array(*(F.array_min(F.transform(shingles, _seeded(b))) for b in range(BANDS)))
-        banded = windows.select("doc_id", F.col("x.at").alias("at"), F.array_distinct("x.w").alias("w"), sketch(F.col("x.w")).alias("bands"))
+        banded = windows.select("doc_id", F.col("x.at").alias("at"), F.array_distinct("x.w").alias("w"), _sketch(F.col("x.w")).alias("bands"))
         # Retrieval: a template and a window that agree in a band.
-        known = spark.range(1).select(F.explode(table).alias("t")).select("t.license", "t.s", sketch(F.col("t.s")).alias("tb"))
-        keys = known.select("license", "s", F.posexplode("tb").alias("band", "value"))
+        keys = spark.createDataFrame([(r["license"], r["s"], b, v) for r in sketched for b, v in enumerate(r["tb"])], "license string, s array<bigint>, band int, value bigint")
         found = banded.select("doc_id", "at", "w", F.posexplode("bands").alias("band", "value")).join(F.broadcast(keys), ["band", "value"])
         part = found.select("doc_id", "license", "at", (F.size(F.array_intersect("w", "s")) / F.size("s")).alias("c")).filter(F.col("c") >= CONTAINED)
         parts.append(part.distinct())

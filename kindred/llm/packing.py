@@ -165,7 +165,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0) -> Da
     """The pieces of all documents, with the partition that cut each and its rank there among pieces of its length."""
     tail = int(end).to_bytes(4, "little")
 
-    def make(own: WordBpe, batch: pa.RecordBatch, texts: list[str], ids: list[bytes]) -> pa.RecordBatch:
+    def make(own: WordBpe, batch: pa.RecordBatch, ids: list[bytes]) -> pa.RecordBatch:
         task = TaskContext.get()
         now = (task.stageId(), task.partitionId(), task.taskAttemptId())
         if getattr(own, "_task", None) != now:
