@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, chat, exact, licenses, neardup, packing, token_counts, topk, urls
+from kindred.llm import bpe, chat, exact, licenses, neardup, packing, quality, token_counts, topk, urls
 from kindred.llm.common import read
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,10 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"), RULES)
 
@@ -54,5 +58,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), WORDS)
 
 
-QUERIES = {f.__name__: f for f in (op1_tokens, op2_topk, op4_urls, op5_minmax, op6_licenses, op7_exact, op8_pack, op9_chat, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_tokens, op2_topk, op3_quality, op4_urls, op5_minmax, op6_licenses, op7_exact, op8_pack, op9_chat, op10_bpe)}
 ORACLE: dict[str, str] = {}
