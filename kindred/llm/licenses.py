@@ -17,10 +17,13 @@ their id. An empty table or list of templates gives an empty result. Only the na
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.llm.common import materialize
+
 WORDS, BANDS, CONTAINED = 5, 16, 0.8
 #: Templates are sent to all executors; more words than these in all are refused.
 MOST_WORDS = 200_000
@@ -69,8 +72,17 @@ def _hash(words: list[Column], k: int) -> Column:
 # Lambdas of one argument each, over what a loop has at hand.
 
 
-def _at(k: int):
-    return lambda i: _hash([F.get("words", i + F.lit(j)) for j in range(k)], k)
+def _shingles(k: int):
+    return lambda words: F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(0), F.size(words) - F.lit(k)), lambda i: _hash([F.get(words, i + F.lit(j)) for j in range(k)], k)))
+
+
+def _overlap_one(every: list[int]):
+    return lambda h: F.arrays_overlap(h, F.lit(every))
+
+
+def _starts(h: Column, stride: int, width: int) -> Column:
+    # The last window may be shorter, so that every shingle is in one.
+    return F.sequence(F.lit(0), F.greatest(F.size(h) - F.lit(width), F.lit(0)) + F.lit(stride - 1), F.lit(stride))
 
 
 def _window(width: int):
@@ -104,26 +116,25 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
         for w in rare:
             some = some | low.contains(w)
         near = base.filter(some)
-    worded = near.select("doc_id", text_words(F.col("text")).alias("words"))
     parts = []
-    for k, stride, width in sorted({x[2:] for x in own}):
-        # The templates' hashes come from the same functions, once, and enter the plan as constants.
-        group = [x for x in own if x[2:] == (k, stride, width)]
+    for k in sorted({x[2] for x in own}):
+        # The templates' hashes come from the same functions, once, and enter the plans as constants.
+        group = [x for x in own if x[2] == k]
         table = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(name).alias("license"), F.array(*(_hash([F.lit(w) for w in s], k) for s in shingles)).alias("s")) for name, shingles, *_ in group))).alias("t"))
-        sketched = table.select("t.license", "t.s", _sketch(F.col("t.s")).alias("tb")).collect()
-        every = F.lit(sorted({v for r in sketched for v in r["s"]}))
-        count = F.size("words") - F.lit(k - 1)
-        hashes = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), _at(k))).otherwise(F.array().cast("array<bigint>"))
-        held = worded.select("doc_id", hashes.alias("h")).filter(F.arrays_overlap("h", every))
-        starts = F.sequence(F.lit(0), F.greatest(F.size("h") - F.lit(width), F.lit(0)) + F.lit(stride - 1), F.lit(stride))
-        windows = held.select("doc_id", F.explode(F.filter(F.transform(starts, _window(width)), _overlaps(every))).alias("x"))
-        banded = windows.select("doc_id", F.col("x.at").alias("at"), F.array_distinct("x.w").alias("w"), _sketch(F.col("x.w")).alias("bands"))
-        # Retrieval: a template and a window that agree in a band.
-        keys = spark.createDataFrame([(r["license"], r["s"], b, v) for r in sketched for b, v in enumerate(r["tb"])], "license string, s array<bigint>, band int, value bigint")
-        found = banded.select("doc_id", "at", "w", F.posexplode("bands").alias("band", "value")).join(F.broadcast(keys), ["band", "value"])
-        part = found.select("doc_id", "license", "at", (F.size(F.array_intersect("w", "s")) / F.size("s")).alias("c")).filter(F.col("c") >= CONTAINED)
-        parts.append(part.distinct())
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+        known = {r["license"]: r for r in table.select("t.license", "t.s", _sketch(F.col("t.s")).alias("tb")).collect()}
+        # The one pass over all texts: the hashes of those with a shingle of some template. Outer generators keep the
+        # optimizer from computing their input once more to see whether it is empty.
+        hashes = F.filter(F.transform(F.array(text_words(F.col("text"))), _shingles(k)), _overlap_one(sorted({v for r in known.values() for v in r["s"]})))
+        held = materialize(near.select("doc_id", F.explode_outer(hashes).alias("h")).filter("h IS NOT NULL"))
+        for stride, width in sorted({x[3:] for x in group}):
+            rows = [known[x[0]] for x in group if x[3:] == (stride, width)]
+            cut = F.filter(F.transform(_starts(F.col("h"), stride, width), _window(width)), _overlaps(F.lit(sorted({v for r in rows for v in r["s"]}))))
+            windows = held.select("doc_id", F.explode_outer(cut).alias("x")).filter("x IS NOT NULL")
+            banded = windows.select("doc_id", F.col("x.at").alias("at"), F.array_distinct("x.w").alias("w"), F.posexplode_outer(_sketch(F.col("x.w"))).alias("band", "value"))
+            # Retrieval: a template and a window that agree in a band. Then the whole shingle sets decide.
+            keys = spark.createDataFrame([(r["license"], r["s"], b, v) for r in rows for b, v in enumerate(r["tb"])], "license string, s array<bigint>, band int, value bigint")
+            found = banded.join(F.broadcast(keys), ["band", "value"])
+            contained = found.select("doc_id", "license", "at", (F.size(F.array_intersect("w", "s")) / F.size("s")).alias("c"))
+            parts.append(contained.filter(F.col("c") >= CONTAINED).distinct())
+    out = reduce(DataFrame.union, parts)
     return out.groupBy("doc_id", "license").agg(F.max("c").alias("containment"), F.min("at").cast("int").alias("first_word"), F.count("*").alias("n_windows"))
