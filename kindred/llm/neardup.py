@@ -4,13 +4,14 @@ Under each permutation a set keeps both its smallest and its largest hash, so ha
 for a signature of a given length. Either end agrees between two sets with the probability of their similarity, and
 bands of ``ROWS`` smallest or ``ROWS`` largest values find a pair of similarity 0.8 with a probability of 1 - 1.2e-7.
 
-Texts with one set are one class first. Classes that share a band's bucket are linked in three passes, so that a bucket
-of any size never makes all its pairs:
+Texts with one set are one class first. Classes that share a band's bucket are linked in two passes, so that a bucket of
+any size never makes all its pairs:
 
 1. Each class is compared with its bucket's most central one, that with the most bucket mates over all its bands.
-2. Buckets in which more than one component is left compare classes of different components by their signatures, in
-   tiles of at most ``TILE`` classes a side; the most alike class of each other component is compared first.
-3. What is still in different components is compared, whatever is alike by signature (5 standard deviations below 0.8).
+2. In buckets in which more than one component is left, classes of different components are compared within tasks, in
+   tiles of about ``TILE`` classes a side: by sizes and signatures first (a pair 5 standard deviations below the
+   threshold is passed over), in one bucket of those that they share, then by the sets. What is connected on the way isn't
+   compared again, so what leaves a tile is hardly more than its rows, and no pair is left out.
 
 A comparison reads both whole texts and counts the shingles they share. Components come from minimum labels with
 shortcuts. Buckets, links and labels stay in tables; nothing that grows reaches the driver.
@@ -24,7 +25,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -159,73 +159,138 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _cross(entries: DataFrame, classes: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Pairs of classes of different components that share a bucket and are alike: all, or the best of each component.
-
-    ``entries``: (key, x, c, m), m the number of entries of the bucket."""
+def _tiled(entries: DataFrame) -> DataFrame:
+    """Entries (key, band, m, x, ...) dealt to tiles of their bucket, each tile to its pairs with the others."""
     tiles = F.ceil(F.col("m") / F.lit(TILE)).cast("int")
-    own = F.pmod(F.xxhash64("x", "key"), tiles).cast("int")
-    placed = entries.withColumn("t", tiles).withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-    placed = placed.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), (F.col("i") > F.col("j")).alias("side"), "x", "c")
-    rows = placed.join(classes.select("x", "n", "sign"), "x").select("key", "lo", "hi", "side", "x", "c", "n", "sign")
-
-    def pairs(side, x, c, n, sign, diagonal):
-        order = np.arange(len(x))
-        left, right = (order, order) if diagonal else (order[~side], order[side])
-        if not len(left) or not len(right):
-            return []
-        out = []
-        for i in left.tolist():
-            other = right[c[right] != c[i]]
-            if diagonal:
-                other = other[x[other] > x[i]]
-            if not len(other):
-                continue
-            same = _alike(sign[i], sign[other], n[i], n[other], percent)
-            if every:
-                out += [(x[i], x[k]) for k in other[same > 0].tolist()]
-            elif same.max() > 0:
-                ranked = other[np.argsort(-same, kind="stable")][: int((same > 0).sum())]
-                _, first = np.unique(c[ranked], return_index=True)
-                out += [(x[i], x[k]) for k in ranked[first].tolist()]
-        return [(min(a, b), max(a, b)) for a, b in out]
+    placed = entries.withColumn("t", tiles).withColumn("i", F.pmod(F.xxhash64("x", "key"), F.col("t")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+    own = [c for c in entries.columns if c not in ("key", "m")]
+    return placed.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), (F.col("i") > F.col("j")).alias("side"), *own).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+
+def _by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by (key, lo, hi), a table for each; one may span batches."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(table: pa.Table) -> Iterator[pa.Table]:
+        table = table.combine_chunks()
+        ids = [table.column(k).to_numpy() for k in range(3)]
+        at = (np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in ids])) + 1).tolist()
+        for s, e in zip([0, *at], [*at, table.num_rows], strict=True):
+            yield table.slice(s, e - s)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = [batch.column(k).to_numpy() for k in range(3)]
+        last = np.flatnonzero(np.logical_or.reduce([x != x[-1] for x in ids]))
+        at = int(last[-1]) + 1 if len(last) else 0
+        if held and at == 0 and all(held[0].column(k)[0].as_py() == ids[k][0] for k in range(3)):
+            held.append(batch)
+            continue
+        whole = [*held, batch.slice(0, at)]
+        if sum(b.num_rows for b in whole):
+            yield from cut(pa.Table.from_batches(whole))
+        held = [batch.slice(at)]
+    if held:
+        yield from cut(pa.Table.from_batches(held))
+
+
+def _open_pairs(t: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a tile (.., side, band, x, c, n, sign, keys, ..): for a row, the rows to compare it with. They are in other
+    components, alike, and share no bucket of a lower band, in which the pair is compared instead."""
+    side, band, x, c, n = (t.column(k).to_numpy() for k in range(3, 8))
+    if c.min() == c.max():
+        return
+    sign, keys = _signs(t.column(8).combine_chunks()), t.column(9).combine_chunks().flatten().to_numpy().reshape(len(x), -1)
+    rows = np.arange(len(x))
+    diagonal = t.column(1)[0].as_py() == t.column(2)[0].as_py()
+    left, right = (rows, rows) if diagonal else (rows[~side], rows[side])
+    # Rows of small components first, each against all others: the largest component's rows meet no one but those.
+    names, size = np.unique(c, return_counts=True)
+    big = names[size.argmax()]
+    for i in left.tolist():
+        if diagonal and c[i] == big:
+            continue
+        other = right[c[right] != c[i]]
+        if diagonal:
+            other = other[(c[other] == big) | (x[other] > x[i])]
+        other = other[_alike(sign[i], sign[other], n[i], n[other], percent) > 0] if len(other) else other
+        if len(other):
+            yield i, other[(keys[i] == keys[other]).argmax(axis=1) == band[i]]
+
+
+def _needed(entries: DataFrame, percent: int) -> DataFrame:
+    """(key, x) of the entries that have something to be compared with in their bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(table: pa.Table):
-            table = table.combine_chunks()
-            key, lo, hi = (table.column(k).to_numpy() for k in range(3))
-            side, x, c, n = (table.column(k).to_numpy() for k in range(3, 7))
-            sign = _signs(table.column(7))
-            cut = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+        for t in _by_tile(batches):
+            used: set[int] = set()
+            for i, other in _open_pairs(t, percent):
+                if len(other):
+                    used.update(other.tolist())
+                    used.add(i)
+            if used:
+                k = pa.array(sorted(used))
+                yield pa.RecordBatch.from_arrays([t.column(0).take(k).combine_chunks(), t.column(5).take(k).combine_chunks()], ["key", "x"])
+
+    return _tiled(entries).mapInArrow(run, "key long, x long").distinct()
+
+
+def _cross(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of different components that share a bucket and whose sets, by 32 bits of each shingle, reach the
+    threshold. Those that joins in the same tile connect already are left out, so a tile gives hardly more pairs than it
+    has rows. ``entries``: (key, m, band, x, c, n, sign, keys, set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_tile(batches):
+            x, c, n = (t.column(k).to_numpy() for k in range(5, 8))
+            sets = [np.frombuffer(s, np.uint32) for s in t.column(10).to_pylist()]
+            words, place = np.unique(np.concatenate(sets), return_inverse=True)
+            starts = np.cumsum([0, *map(len, sets)])
+            mark = np.zeros(len(words), bool)
+            parent = {v: v for v in c.tolist()}
+
+            def root(v: int, parent=parent) -> int:
+                while parent[v] != v:
+                    parent[v] = parent[parent[v]]
+                    v = parent[v]
+                return v
+
             out = []
-            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True):
-                if c[s:e].min() != c[s:e].max():
-                    out += pairs(side[s:e], x[s:e], c[s:e], n[s:e], sign[s:e], lo[s] == hi[s])
+            for i, other in _open_pairs(t, percent):
+                other = [k for k in other.tolist() if root(int(c[k])) != root(int(c[i]))]
+                if not other:
+                    continue
+                own = place[starts[i] : starts[i + 1]]
+                mark[own] = True
+                if len(other) > len(x) // 4:
+                    both = np.add.reduceat(mark[place], starts[:-1], dtype=np.int64)[other]
+                else:
+                    both = np.array([np.count_nonzero(mark[place[starts[k] : starts[k + 1]]]) for k in other])
+                mark[own] = False
+                over = 100 * both - percent * (n[i] + n[other] - both)
+                for k, more in zip(other, over.tolist(), strict=True):
+                    a, b = root(int(c[i])), root(int(c[k]))
+                    if more >= 0 and a != b:
+                        out.append((int(x[i]), int(x[k])))
+                        # 32 bits may count a shingle too many, so a pair close to the threshold joins nothing yet.
+                        if more >= 1000:
+                            parent[max(a, b)] = min(a, b)
             if out:
-                a, b = zip(*set(out), strict=True)
+                a, b = zip(*{(min(p), max(p)) for p in out}, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        # Rows come sorted by group; a group of at most two tiles may span batches.
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = [batch.column(k).to_numpy() for k in range(3)]
-            last = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in key]))
-            at = int(last[-1]) + 1 if len(last) else 0
-            if held and at == 0 and all(held[0].column(k)[0].as_py() == key[k][0] for k in range(3)):
-                held.append(batch)
-                continue
-            whole = [*held, batch.slice(0, at)]
-            if sum(b.num_rows for b in whole):
-                yield from flush(pa.Table.from_batches(whole))
-            held = [batch.slice(at)]
-        if held:
-            yield from flush(pa.Table.from_batches(held))
-
-    sorted_ = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return sorted_.mapInArrow(run, "a long, b long").distinct()
+    return _tiled(entries).mapInArrow(run, "a long, b long").distinct()
+
+
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(x, set): 32 bits of each shingle of the documents ``ids`` (x)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, column in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in shingle_sets(column, words)], pa.binary())], ["x", "set"])
+
+    return _narrowed(docs, ids).groupBy("doc_id").agg(F.min("text").alias("text")).mapInArrow(run, "x long, set binary")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,28 +303,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     classes = materialize(
         linked.select("doc_id", "digest", "keys", "sign", F.col("n_shingles").alias("n")).join(reps, (linked["digest"] == reps["digest"]) & (linked["doc_id"] == reps["x"])).select("x", "n", "keys", "sign").dropDuplicates(["x"])
     )
-    entries = classes.select(F.explode("keys").alias("key"), "x")
+    entries = classes.select(F.posexplode("keys").alias("band", "key"), "x")
     sizes = entries.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    shared = materialize(entries.join(sizes, "key"))
+    shared = materialize(entries.join(sizes, "key").select("key", "m", "band", "x"))
     center = shared.groupBy("x").agg(F.sum("m").alias("w"))
     weighed = shared.join(center, "x")
     leaders = weighed.groupBy("key").agg(F.min(F.struct((-F.col("w")).alias("w"), "x"))["x"].alias("a"))
     pairs = shared.join(leaders, "key").filter("a <> x").select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b")).distinct()
-    slim = classes.select("x", "n", "sign")
-    tested = [materialize(_plausible(pairs, slim, percent))]
-    links = [materialize(_confirmed(tested[0], docs, words, percent))]
-    for every in (False, True):
-        found = components(reduce(DataFrame.union, links))
-        named = shared.join(found, "x", "left").select("key", "x", "m", F.coalesce("c", "x").alias("c"))
-        mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
-        open_ = named.join(mixed, "key").select("key", "x", "c", "m")
-        new = materialize(_cross(open_, slim, percent, every).join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti"))
-        if new.isEmpty():
-            # The best ones have been compared before; less alike ones may still be linked.
-            continue
-        tested.append(new)
-        links.append(materialize(_confirmed(new, docs, words, percent)))
-    found = components(reduce(DataFrame.union, links))
+    first = materialize(_confirmed(materialize(_plausible(pairs, classes.select("x", "n", "sign"), percent)), docs, words, percent))
+    # What shares a bucket and isn't connected yet.
+    named = shared.join(components(first), "x", "left").withColumn("c", F.coalesce("c", "x"))
+    mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
+    open_ = materialize(named.join(mixed, "key").select("key", "m", "band", "x", "c"))
+    full = open_.join(classes, "x").select("key", "m", "band", "x", "c", "n", "sign", "keys")
+    needed = materialize(_needed(full, percent))
+    ids = materialize(needed.select("x").distinct())
+    own = full.join(needed, ["key", "x"]).join(_sets(docs, ids, words), "x").select("key", "m", "band", "x", "c", "n", "sign", "keys", "set")
+    second = materialize(_confirmed(materialize(_cross(own, percent)), docs, words, percent))
+    found = components(first.union(second))
     named = reps.join(found, "x", "left").select("digest", F.coalesce("c", "x").alias("c"))
     out = sketches.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
     component = F.coalesce("c", "doc_id")
