@@ -28,11 +28,13 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
+from tokenizers.normalizers import Sequence
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from kindred.llm.common import chunks, slices, utf8
 
 #: Entries of a worker's caches: chunks (a generation of two), words, pairs of tokens. Full ones are emptied.
-CHUNKS, WORDS, PAIRS = 250_000, 200_000, 1_000_000
+CHUNKS, WORDS, PAIRS = 350_000, 200_000, 1_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -48,7 +50,7 @@ def byte_symbols() -> list[str]:
 class WordBpe:
     """A tokenizers file whose model is BPE over byte symbols with a suffix on a word's last symbol."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, by_library: bool = False):
         spec = json.loads(source)
         model = spec["model"]
         self.vocab: dict[str, int] = dict(model["vocab"])
@@ -57,11 +59,16 @@ class WordBpe:
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         library = Tokenizer.from_str(source)
         self._normalizer, self._pre = library.normalizer, library.pre_tokenizer
+        self._model = None
+        if by_library:
+            self._model = Tokenizer.from_str(source)
+            self._model.normalizer, self._model.pre_tokenizer = Sequence([]), WhitespaceSplit()
         names = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
 
         symbols = byte_symbols()
         self._byte = {ord(s): b for b, s in enumerate(symbols)}
+        self._symbol = dict(enumerate(symbols))
         # By the bytes of a token: its id within a word, and at a word's end.
         self.inner: dict[bytes, int] = {}
         self.last: dict[bytes, int] = {}
@@ -83,7 +90,8 @@ class WordBpe:
         self._words: dict[str | bytes, bytes] = {}
         self._chunks: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
-        self._suffixes()
+        if not by_library:
+            self._suffixes()
         #: Chunks of these characters are split here, as all versions of Unicode treat them alike; others by the library.
         self._plain = re.compile("[\x00-\x7f¡-įı-ſ‐-‧]*").fullmatch
         self._split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
@@ -145,6 +153,8 @@ class WordBpe:
 
     def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
         """The ids of distinct non-empty words, as little-endian unsigned 32-bit integers."""
+        if self._model:
+            return self._library_words(words)
         out: dict[bytes, bytes] = {}
         last, known, fits, longest, step, ends = self.last.get, self._pair.get, self._fits, self.longest, self._step.get, self._ends
         # The path of trie nodes: the last token of the prefix that ends there, where that token begins, and the state
@@ -192,6 +202,18 @@ class WordBpe:
             before = w
         return out
 
+    def _library_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The same by the library's own model, for jobs that need ids and no trie."""
+        out: dict[bytes, bytes] = {}
+        for s in range(0, len(words), 2000):
+            own = words[s : s + 2000]
+            coded = self._model.encode(" ".join([w.decode("latin-1").translate(self._symbol) for w in own]), add_special_tokens=False)
+            ids, of = np.array(coded.ids, "<u4"), np.array(coded.word_ids)
+            data, ends = ids.tobytes(), (4 * np.searchsorted(of, np.arange(len(own) + 1))).tolist()
+            for k, w in enumerate(own):
+                out[w] = data[ends[k] : ends[k + 1]]
+        return out
+
     def _pieces(self, chunk: str) -> list[bytes]:
         if chunk.isascii():
             return [x.encode() for x in self._ascii(chunk.lower())]
@@ -257,12 +279,12 @@ class WordBpe:
 _loaded: dict[str, WordBpe] = {}
 
 
-def codec(source: str) -> WordBpe:
+def codec(source: str, by_library: bool = False) -> WordBpe:
     """One encoder a worker and vocabulary; its caches outlive a task."""
-    key = hashlib.sha256(source.encode()).hexdigest()
+    key = f"{hashlib.sha256(source.encode()).hexdigest()} {by_library}"
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = WordBpe(source)
+        _loaded[key] = WordBpe(source, by_library)
     return _loaded[key]
 
 
@@ -272,12 +294,12 @@ def vocabulary(path: str) -> str:
         return f.read()
 
 
-def encoded(docs: DataFrame, path: str, make: Callable[[WordBpe, pa.RecordBatch, list[bytes]], pa.RecordBatch], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, path: str, make: Callable[[WordBpe, pa.RecordBatch, list[bytes]], pa.RecordBatch], schema: str, id_col: str = "doc_id", text_col: str = "text", by_library: bool = False) -> DataFrame:
     """Rows that ``make`` derives from batches of (id, text) with their ids."""
     source = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(source.value)
+        own = codec(source.value, by_library)
         for batch, column in slices(batches, limit=8 << 20):
             yield make(own, batch, own.encode(column))
 

@@ -186,7 +186,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0) -> Da
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([doc, piece, start, length, crc, [now[1]] * len(doc), rank], kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
 
-    return encoded(docs, path, make, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long")
+    return encoded(docs, path, make, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long", by_library=True)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, rounds: int = ROUNDS) -> DataFrame:
