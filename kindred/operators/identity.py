@@ -173,9 +173,10 @@ def absorb(centers: DataFrame, noise: DataFrame, prototypes: DataFrame, cfg: Pro
                     who = None
                 out.append(("cluster" if r.kind == 1 else "noise", int(r.k), who, score))
         book = book or start()
-        yield pd.DataFrame(out, columns=["kind", "key", "person_id", "score"]).reindex(columns=COLUMNS)
+        if out:
+            yield pd.DataFrame([(*r, None, None, None, None, None) for r in out], columns=COLUMNS, dtype=object)
         kept = [("prototype", r[1], r[0], None, r[2], r[3], r[4], r[5], r[6]) for r in book.rows]
-        yield pd.DataFrame(kept, columns=COLUMNS)
+        yield pd.DataFrame(kept, columns=COLUMNS, dtype=object)
 
     return steps.coalesce(1).sortWithinPartitions("kind", "k").mapInPandas(run, "kind string, key long, person_id string, score double, vector array<double>, count long, created_at double, updated_at double, label string")
 

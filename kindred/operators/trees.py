@@ -39,7 +39,6 @@ def density_labels(x: np.ndarray, min_cluster_size: int, min_samples: int) -> np
     if n < size:
         return labels
     # Single linkage: node n + k joins two nodes at a length.
-    top = list(range(n))
     parent = list(range(2 * n - 1))
 
     def root(a: int) -> int:
@@ -54,7 +53,6 @@ def density_labels(x: np.ndarray, min_cluster_size: int, min_samples: int) -> np
         parent[a] = parent[b] = node
         kids[node], height[node] = (a, b), d
         weight.append(weight[a] + weight[b])
-    del top
 
     def points(node: int) -> list[int]:
         out, stack = [], [node]
