@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, chat, exact, licenses, neardup, packing, quality, token_counts, topk, urls
+from kindred.llm import bpe, chat, exact, licenses, neardup, packing, quality, sql, token_counts, topk, urls
 from kindred.llm.common import read
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -59,4 +59,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_tokens, op2_topk, op3_quality, op4_urls, op5_minmax, op6_licenses, op7_exact, op8_pack, op9_chat, op10_bpe)}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op2_topk": sql.TOPK, "op4_urls": sql.link_trust(RULES), "op5_minmax": sql.NEAR, "op6_licenses": sql.license_windows(licenses.TEMPLATES), "op7_exact": sql.EXACT, "op9_chat": sql.CHAT}

@@ -13,7 +13,7 @@ Queries come in blocks of ``block`` rows, which bounds what is sent to the execu
 Scores are whole numbers and exact: doubles are used only where every sum fits in 53 bits, else 64-bit integers.
 
 Cases: a vector that is null or holds a null or non-finite component takes no part, as query or candidate; nor does one
-whose components exceed 2^40, for which 64 bits aren't certain to do. A query meets only vectors of its own length. Ties
+whose components, scaled, reach 2^28, beyond which 64 bits might not hold a score. A query meets only vectors of its own length. Ties
 go to the smaller id. A row meets every other id; rows that repeat the query's id count as the query itself. Of repeated
 ids among queries one row is taken, the least by its components. Empty tables give an empty result. Only the named
 columns are read.
@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 K, LISTS, BLOCK = 10, 4, 1024
 #: Rows that are scored at a time.
 STRIP = 2048
-LIMIT = float(1 << 40)
+LIMIT = float(1 << 28)
 
 
 def whole(vector: Column, scale: float = 1024.0) -> Column:

@@ -1,0 +1,38 @@
+"""The contracts' queries against DuckDB, and the pipeline against brute force."""
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from kindred.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "conversations"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, SF)
+    cur = c.execute(queries.ORACLE[name])
+    names = [d[0] for d in cur.description]
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(map(str, (tuple(r) for r in got.select(names).collect()))) == sorted(map(str, cur.fetchall()))
+
+
+def test_pipeline(spark):
+    from test_operators import near_by_hand
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = corpus_pipeline.keep_quality(spark, docs, SF).cache()
+    assert good.columns == docs.columns and 0 < good.count() <= docs.count()
+    single = corpus_pipeline.drop_copies(spark, good, SF).cache()
+    rows = good.toPandas()
+    assert set(single.toPandas().doc_id) == set(rows.groupby("text").doc_id.max())
+    apart = corpus_pipeline.drop_near_copies(spark, single, SF).cache()
+    by_hand = near_by_hand([(r["doc_id"], r["text"]) for r in single.collect()], 5)
+    assert {r["doc_id"] for r in apart.collect()} == {i for i, (_, _, kept) in by_hand.items() if kept} and apart.columns == docs.columns
+    packed = corpus_pipeline.pack(spark, apart, SF).toPandas()
+    assert set(packed.doc_id) == {r["doc_id"] for r in apart.collect()}
+    assert len(corpus_pipeline.STAGES) == 4 and corpus_pipeline.run(spark, SF).count() == len(packed)
