@@ -17,7 +17,8 @@ A comparison reads both whole texts and counts the shingles they share. Componen
 shortcuts. Buckets, links and labels stay in tables; nothing that grows reaches the driver.
 
 Cases: a null or empty text, or one of white space, has an empty set, no links, and is kept. A text of fewer words than a
-shingle has one shingle, the whole sequence. Rows of one id are one document. A row with a null id takes no part: its
+shingle has one shingle, the whole sequence. Rows of one id are one document, linked
+by any of their texts. A row with a null id takes no part: its
 component is null and it is kept. An empty table gives an empty result. Only the named columns are read.
 """
 
@@ -126,7 +127,8 @@ def _narrowed(docs: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose whole shingle sets reach the threshold."""
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct())
-    texts = _narrowed(docs, ids).groupBy("doc_id").agg(F.min("text").alias("text"))
+    # Nothing stands between the joins and their shuffles, so adaptive execution can split a text with very many pairs.
+    texts = _narrowed(docs, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, ta in slices(batches, "ta"):
@@ -290,7 +292,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
         for batch, column in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in shingle_sets(column, words)], pa.binary())], ["x", "set"])
 
-    return _narrowed(docs, ids).groupBy("doc_id").agg(F.min("text").alias("text")).mapInArrow(run, "x long, set binary")
+    return _narrowed(docs, ids).mapInArrow(run, "x long, set binary")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
