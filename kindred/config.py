@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
+# The names and defaults of all settings, section by section, as configuration files have them.
+
 
 @dataclass
 class Detector:

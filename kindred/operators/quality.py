@@ -18,6 +18,7 @@ def detected(faces: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def reasons(det: Column, size: Column, blur: Column, yaw: Column, cfg: Quality) -> Column:
     """Codes with the value at fault, in a fixed order; blur and yaw are null where they weren't measured."""
+    # The formats of the codes.
     return F.array_compact(
         F.array(
             F.when(det < cfg.min_det_score, F.format_string("low_det_score(%.2f)", det)),
