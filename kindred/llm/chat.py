@@ -58,7 +58,7 @@ def write(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     return "".join(out), spans
 
 
-_turn = re.compile(r"### ((?:\\.|[^\\:])*): ((?:\\.|(?!</turn>)[^\\])*)</turn>\n", re.S)
+_turn = re.compile(r"### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.|<(?!/turn>))*+)</turn>\n", re.S)
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
