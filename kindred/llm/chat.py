@@ -1,17 +1,17 @@
 """Operator 9: chat formatting of reply trees.
 
-Messages form trees by their parents. Iterative self-joins walk them: a frontier starts at the roots and joins the
-messages whose parent it holds, carrying the branch's sum of scores, until no reply is left. A message without replies
-ends a branch; branches of a tree are ranked by score, and the chosen ones become one conversation each. Their messages
-come from the way back, by self-joins of the same kind over parents: each join doubles the reach of the pointers, so a
-branch of n messages takes log2(n) rounds.
+Messages form trees by their parents. Iterative self-joins enumerate the paths from the root to each leaf: every message
+points to an ancestor and knows the sum of scores up to it, and a round joins it with that ancestor's own pointer, so
+pointers double their reach and a tree of depth n takes log2(n) rounds. A message without replies ends a branch;
+branches of a tree are ranked by score, and the chosen ones become one conversation each. Their messages come from the
+same pointers, followed from the chosen leaves in as many rounds.
 
 The template writes a message as ``### Role: text</turn>`` and a line break. Texts and roles have their backslashes
 doubled and a backslash put before ``###`` and ``</turn>`` (roles: before every colon too), so the marks of a formatted
 conversation are its own and every text reads back as it was. Spans under the loss mask are offsets in code points.
 
-Cases: null texts and roles count as empty. A message whose parent is absent is a root; one that is its own ancestor
-belongs to no branch and is left out. Ties in score go to the smaller leaf id. Turns with equal numbers are ordered by
+Cases: null texts and roles count as empty. A message whose parent is absent is a root; one that is its own ancestor,
+or replies to such a message, belongs to no branch and is left out. Ties in score go to the smaller leaf id. Turns with equal numbers are ordered by
 role and text, nulls first. Repeated message ids within a tree: the least row by role and text counts. An empty table
 gives an empty result. Only the named columns are read, so others may have any names.
 """
@@ -79,23 +79,34 @@ def tree_of_turns(conversations: DataFrame) -> DataFrame:
     return rows.select(F.col("conv_id").alias("tree_id"), "message_id", F.when(F.col("message_id") > 1, F.col("message_id") - 1).alias("parent_id"), "role", "text", F.lit(1.0).alias("score"))
 
 
-def branches(messages: DataFrame) -> DataFrame:
-    """(tree_id, leaf_id, score, depth) of every root-to-leaf path, by self-joins from the roots down."""
-    own = messages.select("tree_id", "message_id", "parent_id", "score")
+def pointers(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(tree_id, message_id, score, depth) of every message that a root leads to, score being its path's sum, and for each
+    round k (tree_id, message_id, up) of the messages that have an ancestor 2^k steps up."""
+    own = messages.select("tree_id", "message_id", "parent_id", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     known = own.select(F.col("tree_id").alias("t"), F.col("message_id").alias("m"))
-    parents = own.select(F.col("tree_id").alias("t"), F.col("parent_id").alias("p")).filter("p IS NOT NULL").distinct()
-    replies = own.filter("parent_id IS NOT NULL").select(F.col("tree_id").alias("t"), F.col("message_id").alias("m"), F.col("parent_id").alias("p"), F.col("score").alias("s"))
-    rooted = own.join(known, own["tree_id"].eqNullSafe(known["t"]) & (own["parent_id"] == known["m"]), "left_anti")
-    score = F.coalesce("score", F.lit(0.0)).cast("double")
-    frontier = materialize(rooted.select("tree_id", "message_id", score.alias("score"), F.lit(1).alias("depth")))
-    levels = []
-    while not frontier.isEmpty():
-        levels.append(frontier)
-        down = frontier.join(replies, frontier["tree_id"].eqNullSafe(replies["t"]) & (frontier["message_id"] == replies["p"]))
-        frontier = materialize(down.select("tree_id", F.col("m").alias("message_id"), (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"), (F.col("depth") + 1).alias("depth")))
-    if not levels:
-        return frontier.withColumnRenamed("message_id", "leaf_id")
-    reached = reduce(DataFrame.union, levels)
+    held = own.join(known, own["tree_id"].eqNullSafe(known["t"]) & (own["parent_id"] == known["m"]), "left")
+    state = materialize(held.select("tree_id", "message_id", F.col("m").alias("up"), "score", F.lit(1).alias("depth")))
+    done, still, reach, largest = [state.filter("up IS NULL")], [], 1, None
+    # ``up`` is the nearest ancestor not counted yet in score and depth.
+    waiting = state.filter("up IS NOT NULL")
+    while not waiting.isEmpty():
+        still.append(waiting.select("tree_id", "message_id", "up"))
+        if largest is None:
+            largest = own.groupBy("tree_id").count().agg(F.max("count")).first()[0]
+        if reach >= largest:  # longer than any path from a root, so only circles are left
+            break
+        ahead = reduce(DataFrame.union, [*done, waiting]).select(F.col("tree_id").alias("t"), F.col("message_id").alias("m"), F.col("up").alias("next"), F.col("score").alias("s"), F.col("depth").alias("d"))
+        hop = waiting.join(ahead, waiting["tree_id"].eqNullSafe(ahead["t"]) & (waiting["up"] == ahead["m"]))
+        state = materialize(hop.select("tree_id", "message_id", F.col("next").alias("up"), (F.col("score") + F.col("s")).alias("score"), (F.col("depth") + F.col("d")).alias("depth")))
+        done.append(state.filter("up IS NULL"))
+        waiting = state.filter("up IS NOT NULL")
+        reach *= 2
+    return reduce(DataFrame.union, done).drop("up"), still
+
+
+def branches(messages: DataFrame, reached: DataFrame) -> DataFrame:
+    """(tree_id, leaf_id, score, depth) of every root-to-leaf path."""
+    parents = messages.filter("parent_id IS NOT NULL").select(F.col("tree_id").alias("t"), F.col("parent_id").alias("p")).distinct()
     leaves = reached.join(parents, reached["tree_id"].eqNullSafe(parents["t"]) & (reached["message_id"] == parents["p"]), "left_anti")
     return leaves.withColumnRenamed("message_id", "leaf_id")
 
@@ -107,22 +118,20 @@ def ranked(paths: DataFrame, best: int | None) -> DataFrame:
     return out if best is None else out.filter(F.col("branch") <= best)
 
 
-def members(messages: DataFrame, chosen: DataFrame) -> DataFrame:
+def members(chosen: DataFrame, still: list[DataFrame]) -> DataFrame:
     """(tree_id, leaf_id, depth, message_id) of the messages on the chosen branches; depth counts from the root.
 
-    Round k knows each message's ancestor 2^k steps up, so joins double what is known of a branch."""
-    up = materialize(messages.filter("parent_id IS NOT NULL").select("tree_id", F.col("message_id").alias("m"), F.col("parent_id").alias("a")))
+    Round k follows the pointers 2^k steps up, so joins double what is known of a branch."""
     found = chosen.select("tree_id", "leaf_id", F.col("leaf_id").alias("message_id"), "depth")
-    step, deepest = 1, chosen.agg(F.max("depth")).first()[0] or 0
-    while step < deepest:
-        hop = up.select(F.col("tree_id").alias("t"), "m", "a")
-        higher = found.filter(F.col("depth") > step).join(hop, found["tree_id"].eqNullSafe(hop["t"]) & (found["message_id"] == hop["m"]))
-        found = materialize(found.union(higher.select("tree_id", "leaf_id", F.col("a").alias("message_id"), (F.col("depth") - step).cast("int").alias("depth"))))
-        step *= 2
-        if step < deepest:
-            nxt = up.select(F.col("tree_id").alias("t"), F.col("m").alias("mid"), F.col("a").alias("top"))
-            up = materialize(up.join(nxt, up["tree_id"].eqNullSafe(nxt["t"]) & (up["a"] == nxt["mid"])).select("tree_id", "m", F.col("top").alias("a")))
-    return found
+    deepest, parts = chosen.agg(F.max("depth")).first()[0] or 0, [found]
+    for k, up in enumerate(still):
+        if 1 << k >= deepest:
+            break
+        hop = up.select(F.col("tree_id").alias("t"), F.col("message_id").alias("m"), "up")
+        low = reduce(DataFrame.union, parts).filter(F.col("depth") > 1 << k)
+        higher = low.join(hop, low["tree_id"].eqNullSafe(hop["t"]) & (low["message_id"] == hop["m"]))
+        parts.append(materialize(higher.select("tree_id", "leaf_id", F.col("up").alias("message_id"), (F.col("depth") - (1 << k)).cast("int").alias("depth"))))
+    return reduce(DataFrame.union, parts)
 
 
 def format_trees(messages: DataFrame, best: int | None = 1) -> DataFrame:
@@ -131,8 +140,9 @@ def format_trees(messages: DataFrame, best: int | None = 1) -> DataFrame:
     ``messages``: tree_id, message_id, parent_id, role, text, score."""
     content = messages.groupBy("tree_id", "message_id").agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "parent_id", "score")).alias("r"))
     own = materialize(content.select("tree_id", "message_id", "r.parent_id", "r.role", "r.text", "r.score"))
-    chosen = materialize(ranked(branches(own), best))
-    on_path = members(own, chosen)
+    reached, still = pointers(own)
+    chosen = materialize(ranked(branches(own, reached), best))
+    on_path = members(chosen, still)
     text = own.select(F.col("tree_id").alias("t"), F.col("message_id").alias("m"), "role", "text")
     rows = on_path.join(text, on_path["tree_id"].eqNullSafe(text["t"]) & (on_path["message_id"] == text["m"]))
     # A conversation is one value of one row, so its messages meet in one task by the definition of the result.

@@ -360,7 +360,7 @@ def test_template_reads_back():
 
 
 def test_reply_trees(spark):
-    rows = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "a", 1.0), (1, 3, 1, "assistant", "b", 2.0), (1, 4, 2, "user", "c", 3.0), (1, 5, 3, "user", None, 1.0), (2, 1, 9, "user", "orphan", 0.0), (3, 1, 2, "user", "loop", 1.0), (3, 2, 1, "user", "loop", 1.0)]
+    rows = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "a", 1.0), (1, 3, 1, "assistant", "b", 2.0), (1, 4, 2, "user", "c", 3.0), (1, 5, 3, "user", None, 1.0), (2, 1, 9, "user", "orphan", 0.0), (3, 1, 2, "user", "loop", 1.0), (3, 2, 1, "user", "loop", 1.0), (3, 3, 2, "user", "below a loop", 1.0)]
     rows += [(4, k, k - 1 if k else None, "user" if k % 2 == 0 else "assistant", f"t{k}", 1.0) for k in range(40)] + [(4, 39, 38, "assistant", "t39", 1.0)]
     df = spark.createDataFrame(rows, "tree_id long, message_id long, parent_id long, role string, text string, score double")
     got = {(r["tree_id"], r["branch"]): (r["leaf_id"], r["score"], chat.parse(r["formatted"])) for r in chat.format_trees(df, None).collect()}
