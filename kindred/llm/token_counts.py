@@ -6,7 +6,10 @@ what is left after the greedy match's tokens are taken off the front, and a numb
 many tokens that takes off. So each character is read once, links are followed at most as often as characters are read,
 and the number of tokens comes without building a piece.
 
-A word that no sequence of greedy pieces covers counts as one unknown token. Words are runs of letters, digits and other
+The bare word-begin piece is the empty first piece: where no longer one fits, it counts one token and the inner pieces go
+on from the word's first character. A character that no inner piece begins with at its place counts a token for each of
+its UTF-8 bytes where the vocabulary has those bytes. Only without that, a word that no sequence of greedy pieces covers
+counts as one unknown token. Words are runs of letters, digits and other
 characters between white space, where each punctuation mark is a word of its own; a bounded cache keeps the counts of
 white-space separated chunks.
 
@@ -31,9 +34,12 @@ CHUNKS = 1_000_000
 
 
 class Automaton:
-    """Counts greedy longest-match pieces. ``first``: pieces that begin a word; ``inner``: pieces that go on within it."""
+    """Counts greedy longest-match pieces. ``first``: pieces that begin a word, "" for the bare begin; ``inner``: pieces
+    that go on within it, single bytes as ``bytes``."""
 
-    def __init__(self, first: list[str], inner: list[str]):
+    def __init__(self, first: list[str], inner: list[str | bytes]):
+        self._bytes = {p[0] for p in inner if isinstance(p, bytes)}
+        inner = [p for p in inner if isinstance(p, str)]
         self.edges: list[dict[str, int]] = [{}, {}]
         ends = [False, False]
         self.inner_root = 1
@@ -47,8 +53,20 @@ class Automaton:
                         ends.append(False)
                     at = self.edges[at][c]
                 ends[at] = at > 1
+        # A character that stands for its bytes is a piece of as many tokens; those of no piece at all are met in count().
+        weight: dict[int, int] = {}
+        for c in {c for piece in (*first, *inner) for c in piece}:
+            at = self.edges[self.inner_root].get(c)
+            if (at is None or not ends[at]) and (spelled := self._spelled(c)):
+                if at is None:
+                    at = self.edges[self.inner_root][c] = len(self.edges)
+                    self.edges.append({})
+                    ends.append(False)
+                ends[at], weight[at] = True, spelled
         n = len(self.edges)
         self.link, self.popped = [-1] * n, [0] * n
+        if "" in first:
+            self.link[0], self.popped[0] = self.inner_root, 1
         # Level by level: a node's link needs those of shorter strings only.
         queue = deque([0, 1])
         while queue:
@@ -56,7 +74,7 @@ class Automaton:
             for c, to in self.edges[at].items():
                 queue.append(to)
                 if ends[to]:
-                    self.link[to], self.popped[to] = self.inner_root, 1
+                    self.link[to], self.popped[to] = self.inner_root, weight.get(to, 1)
                     continue
                 up, taken = self.link[at], self.popped[at]
                 while up >= 0 and c not in self.edges[up]:
@@ -67,12 +85,20 @@ class Automaton:
         self._splits = regex.compile(r"[\p{P}\p{S}]|[^\s\p{P}\p{S}]+").findall
         self._known: dict[str, tuple[int, int, int]] = {}
 
+    def _spelled(self, c: str) -> int:
+        """Tokens of a character as bytes, 0 where the vocabulary lacks one of them."""
+        own = c.encode()
+        return len(own) if self._bytes.issuperset(own) else 0
+
     def count(self, word: str) -> int | None:
         """Tokens of a word; None where greedy matching fails."""
         edges, link, popped = self.edges, self.link, self.popped
         at = n = 0
         for c in word:
             while (to := edges[at].get(c)) is None:
+                if at == self.inner_root and (spelled := self._spelled(c)):
+                    n, to = n + spelled, at
+                    break
                 n += popped[at]
                 at = link[at]
                 if at < 0:
@@ -106,35 +132,38 @@ class Automaton:
         return words, tokens, unknown
 
 
-def sentencepiece_vocabulary(path: str) -> tuple[list[str], list[str]]:
-    """First and inner pieces from a SentencePiece model: those with and without the mark of a word's begin."""
+def sentencepiece_vocabulary(path: str) -> tuple[list[str], list[str | bytes]]:
+    """First and inner pieces from a SentencePiece model: those with and without the mark of a word's begin, the bare mark
+    as "" and bytes as ``bytes``."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    first, inner = [], []
+    first, inner, single = [], [], []
     for k in range(model.get_piece_size()):
         piece = model.id_to_piece(k)
-        if model.is_control(k) or model.is_unknown(k) or model.is_byte(k):
+        if model.is_control(k) or model.is_unknown(k):
             continue
-        if piece.startswith("▁"):
+        if model.is_byte(k):
+            single.append(bytes([int(piece[3:-1], 16)]))
+        elif piece.startswith("▁"):
             first.append(piece[1:])
         else:
             inner.append(piece)
-    return [p for p in first if p and "▁" not in p], [p for p in inner if "▁" not in p]
+    return [p for p in first if "▁" not in p], [*(p for p in inner if "▁" not in p), *single]
 
 
 _built: dict[str, Automaton] = {}
 
 
-def automaton(first: list[str], inner: list[str]) -> Automaton:
-    key = hashlib.sha256("\n".join([*first, "", *inner]).encode()).hexdigest()
+def automaton(first: list[str], inner: list[str | bytes]) -> Automaton:
+    key = hashlib.sha256(repr((first, inner)).encode()).hexdigest()
     if key not in _built:
         _built.clear()
         _built[key] = Automaton(first, inner)
     return _built[key]
 
 
-def token_counts(docs: DataFrame, first: list[str], inner: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, first: list[str], inner: list[str | bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_tokens and n_unknown of every row. The vocabulary is sent to each executor once."""
     sent = docs.sparkSession.sparkContext.broadcast((first, inner))
 
@@ -147,15 +176,21 @@ def token_counts(docs: DataFrame, first: list[str], inner: list[str], id_col: st
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_tokens long, n_unknown long")
 
 
-def greedy(word: str, first: set[str], inner: set[str]) -> int | None:
+def greedy(word: str, first: set[str], inner: set[str | bytes]) -> int | None:
     """The same by trying every length, longest first; for tests."""
     at = n = 0
     while at < len(word):
-        pieces = inner if at else first
+        pieces = inner if n else first
         for to in range(len(word), at, -1):
             if word[at:to] in pieces:
                 at, n = to, n + 1
                 break
         else:
-            return None
+            own = [bytes([b]) for b in word[at].encode()]
+            if not n and "" in first:
+                n = 1
+            elif n and inner.issuperset(own):
+                at, n = at + 1, n + len(own)
+            else:
+                return None
     return n

@@ -56,6 +56,30 @@ def test_token_counts(spark):
     assert got[50] == got[51] and token_counts.token_counts(docs(spark, []), first, inner).count() == 0
 
 
+def test_automaton_with_bare_begin_and_bytes():
+    rng = random.Random(6)
+    for k in range(3000):
+        first, inner = (["".join(rng.choice("abñ") for _ in range(rng.randint(1, 4))) for _ in range(3)] for _ in range(2))
+        first += [""] * (k % 3 > 0)
+        inner += [bytes([b]) for b in range(256) if k % 2 or b < 128]
+        w = "".join(rng.choice("abñ字") for _ in range(rng.randint(1, 12)))
+        assert token_counts.Automaton(first, inner).count(w) == token_counts.greedy(w, set(first), set(inner)), (first, w)
+
+
+def test_no_length_is_lost_as_one_unknown(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    a = token_counts.Automaton(*token_counts.sentencepiece_vocabulary(PIECES))
+    # The model takes the mark itself for a blank; to the automaton it is a character.
+    singles = [chr(c) for c in range(0x21, 0x3000) if chr(c) != "▁" and len(a._splits(chr(c))) == 1 and model.normalize(chr(c)) == "▁" + chr(c)]
+    assert len(singles) > 5000
+    for w in ["555", "2024", "3" * 40, "漢字", "\U00020000\U00020001", *singles]:
+        assert a.count(w) == len(model.encode(w)), w
+    got = token_counts.token_counts(docs(spark, ["2024 555 " + "7" * 500]), *token_counts.sentencepiece_vocabulary(PIECES)).first()
+    assert tuple(got) == (0, 3, 5 + 4 + 501, 0)
+
+
 # 2
 
 
