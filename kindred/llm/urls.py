@@ -4,7 +4,8 @@ Rules name a host and a path; a rule covers its host and all subdomains where th
 the longest wins. Where no rule decides, the host does. Hosts are seeds to the share of their pages that rules allow or
 block. Trust is personalised PageRank from the allowed seeds along host edges; distrust is the same from the blocked
 seeds against the edges, as who links to blocked hosts earns it. A host is blocked where its distrust exceeds its trust
-by more than half of what a wholly blocked host has of itself.
+by more than half of what a wholly blocked host has of itself. Rounds go on until all that is left to spread is less than
+a tolerance for any host, however long the walks.
 
 Edges are counted by (host, target) before anything is joined, and host tables are joined by host under adaptive
 execution, which splits a hot one; neither hosts nor edges reach the driver.
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from kindred.llm.common import materialize
 
-DAMPING, ROUNDS = 0.85, 10
+#: The tolerance bounds what trust and distrust of a host still lack. ROUNDS is what the SQL beside this unrolls.
+DAMPING, TOLERANCE, ROUNDS = 0.85, 1e-9, 10
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
 
@@ -54,29 +56,36 @@ def edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
     return links.filter("link LIKE '%//%'").select("src", host(absolute).alias("dst")).filter("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) after ``rounds`` rounds. ``seeds``: (host, t0, b0); ``links``: (src, dst, n)."""
+def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, trust, distrust), converged; or after ``rounds`` rounds. ``seeds``: (host, t0, b0); ``links``: (src, dst, n)."""
     ends = links.select(F.col("src").alias("host")).union(links.select(F.col("dst").alias("host"))).distinct()
-    base = materialize(ends.join(seeds, "host", "full").select("host", F.coalesce("t0", F.lit(0.0)).alias("t0"), F.coalesce("b0", F.lit(0.0)).alias("b0")))
-    rank = base.select("host", (F.lit(1 - damping) * F.col("t0")).alias("t"), (F.lit(1 - damping) * F.col("b0")).alias("b"))
+    base = ends.join(seeds, "host", "full").select("host", (F.lit(1 - damping) * F.coalesce("t0", F.lit(0.0))).alias("t"), (F.lit(1 - damping) * F.coalesce("b0", F.lit(0.0))).alias("b"))
     if links.isEmpty():
-        return rank.withColumnsRenamed({"t": "trust", "b": "distrust"})
+        return base.withColumnsRenamed({"t": "trust", "b": "distrust"})
+    # Beside each sum what the last round added to it, as only that is passed on.
+    rank = materialize(base.select("host", "t", "b", F.col("t").alias("dt"), F.col("b").alias("db")))
     out = links.groupBy("src").agg(F.sum("n").alias("out"))
     into = links.groupBy("dst").agg(F.sum("n").alias("in"))
     weighed = materialize(links.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("out")).alias("fw"), (F.col("n") / F.col("in")).alias("bw")))
-    for k in range(rounds):
-        ahead = weighed.join(rank.select(F.col("host").alias("src"), "t"), "src").select(F.col("dst").alias("host"), (F.col("t") * F.col("fw")).alias("t"), F.lit(0.0).alias("b"))
-        back = weighed.join(rank.select(F.col("host").alias("dst"), "b"), "dst").select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("b") * F.col("bw")).alias("b"))
-        got = ahead.union(back).groupBy("host").agg(F.sum("t").alias("ti"), F.sum("b").alias("bi"))
-        rank = base.join(got, "host", "left").select(
-            "host", (F.lit(1 - damping) * F.col("t0") + F.lit(damping) * F.coalesce("ti", F.lit(0.0))).alias("t"), (F.lit(1 - damping) * F.col("b0") + F.lit(damping) * F.coalesce("bi", F.lit(0.0))).alias("b")
-        )
-        if k % 2:
+    k = 0
+    while rounds is None or k < rounds:
+        ahead = weighed.join(rank.filter("dt > 0").select(F.col("host").alias("src"), "dt"), "src").select(F.col("dst").alias("host"), (F.col("dt") * F.col("fw")).alias("t"), F.lit(0.0).alias("b"))
+        back = weighed.join(rank.filter("db > 0").select(F.col("host").alias("dst"), "db"), "dst").select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("db") * F.col("bw")).alias("b"))
+        got = ahead.union(back).groupBy("host").agg((F.lit(damping) * F.sum("t")).alias("ti"), (F.lit(damping) * F.sum("b")).alias("bi"))
+        new_t, new_b = F.coalesce("ti", F.lit(0.0)), F.coalesce("bi", F.lit(0.0))
+        rank = rank.join(got, "host", "left").select("host", (F.col("t") + new_t).alias("t"), (F.col("b") + new_b).alias("b"), new_t.alias("dt"), new_b.alias("db"))
+        k += 1
+        if k % 2 == 0:
             rank = materialize(rank)
-    return rank.withColumnsRenamed({"t": "trust", "b": "distrust"})
+            # A round passes on at most ``damping`` of what the last one did, so all later rounds together add no more
+            # than this to any host.
+            last = rank.agg(F.greatest(F.sum("dt"), F.sum("db"))).first()[0]
+            if rounds is None and last * damping <= tolerance * (1 - damping):
+                break
+    return rank.select("host", F.col("t").alias("trust"), F.col("b").alias("distrust"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], damping: float = DAMPING, rounds: int = ROUNDS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], damping: float = DAMPING, rounds: int | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, host, path, rule and verdict of every page."""
     placed = pages.select(pages[id_col].alias("page_id"), host(pages[url_col]).alias("host"), path(pages[url_col]).alias("path"))
     decided = placed.withColumn("r", ruled(rules, F.col("host"), F.col("path")))

@@ -191,6 +191,20 @@ def test_urls(spark):
     assert urls.judge(df.filter("false"), rules).count() == 0
 
 
+def test_trust_spreads_until_it_converges(spark):
+    rules = [("block", "net/"), ("allow", "org/")]
+    link = lambda *to: "".join(f'<a href="http://{x}/">' for x in to)
+    # x and y hand a sixth of z's distrust to and fro; x passes the threshold after more than ten rounds.
+    pages = [(0, "http://z.net/", ""), (1, "http://x.com/", link("z.net", "y.com")), (2, "http://y.com/", link("x.com")), *((3 + k, f"http://w.com/{k}", link("z.net")) for k in range(5))]
+    rng = random.Random(8)
+    hosts = [f"h{k}.{rng.choice(['com', 'com', 'com', 'net', 'org'])}" for k in range(400)]
+    pages += [(100 + k, f"http://{h}/", link(*rng.sample(hosts, 4))) for k, h in enumerate(hosts)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: tuple(r) for r in urls.judge(df, rules).collect()}
+    early, late = ({r[0]: r for r in rank_by_hand(pages, rules, rounds=n)} for n in (10, 300))
+    assert got == late and late[1][4] == "block" and early[1][4] == "allow"
+
+
 # 5
 
 
