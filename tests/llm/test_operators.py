@@ -300,6 +300,28 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, [])).count() == 0 and licenses.scan(df, {}).count() == 0
 
 
+def test_whole_licenses_names_and_spdx_lines(spark):
+    text = {n: licenses.TEMPLATES[f"{n}-text"] for n in ("mit", "isc", "apache-2.0", "gpl-3.0", "mpl-2.0", "unlicense")}
+    broken = text["gpl-3.0"].split()
+    broken = " ".join("changed" if k % 60 == 7 else w for k, w in enumerate(broken))
+    rows = [*enumerate(text.values()), (20, "Released under the terms of the MIT License"), (21, "see Apache License 2.0"), (22, "# SPDX-License-Identifier: ISC"), (23, "xx " * 99 + broken), (24, "Licensed under CC BY 4.0"), (25, "Licensed under CC BY-SA 4.0"), (26, text["gpl-3.0"][:9000])]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    held = defaultdict(set)
+    for r in got:
+        held[r["doc_id"]].add(r["license"])
+    assert all(f"{n}-text" in held[i] for i, n in enumerate(text)) and "gpl-3.0-text" in held[23] and "gpl-3.0-text" not in held[26]
+    assert held[20] == {"mit-name-1"} and held[21] == {"apache-2.0-name-1"} and held[22] == {"spdx-isc"}
+    assert held[24] == {"cc-by-4.0-name-1"} and held[25] == {"cc-by-sa-4.0-name-1"}
+    few = [r for r in rows if r[0] != 3 and r[0] < 26]
+    assert {(r["doc_id"], r["license"]): (r["containment"], r["first_word"], r["n_windows"]) for r in got if r["doc_id"] in dict(few)} == licenses_by_hand(few, licenses.TEMPLATES)
+
+
+def test_telling_words_lose_no_match():
+    for _, shingles, *_ in licenses.shapes(licenses.TEMPLATES):
+        words = licenses.telling(shingles)
+        assert sum(not words & set(s) for s in shingles) < licenses.CONTAINED * len(shingles)
+
+
 # 7
 
 
