@@ -18,7 +18,7 @@ shortcuts. Buckets, links and labels stay in tables; nothing that grows reaches
 
 Cases: a null or empty text, or one of white space, has an empty set, no links, and is kept. A text of fewer words than a
 shingle has one shingle, the whole sequence. Rows of one id are one document, linked
-by any of their texts. A row with a null id takes no part: its
+by any of their texts; where those differ, the table is written once with numbers for its rows. A row with a null id takes no part: its
 component is null and it is kept. An empty table gives an empty result. Only the named columns are read.
 """
 
@@ -299,6 +299,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """doc_id, n_shingles, component_id (the smallest id reachable over links) and kept, for every row."""
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     sketches = materialize(sketch(docs, words))
+    several = sketches.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b")
+    if several.isEmpty():
+        return _linked(sketches, docs, words, percent)
+    # Ids with different texts: rows are linked under numbers of their own, and ids over the components of their rows.
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
+    single = rows.filter("doc_id IS NOT NULL").select(F.col("row").alias("doc_id"), "text")
+    found = _linked(materialize(sketch(single, words)), single, words, percent).select(F.col("doc_id").alias("row"), "n_shingles", "component_id")
+    own = materialize(found.join(rows.select("row", "doc_id"), "row"))
+    least = own.groupBy("component_id").agg(F.min("doc_id").alias("b"))
+    joined = components(own.filter("n_shingles > 0").join(least, "component_id").select(F.col("doc_id").alias("a"), "b"))
+    component = F.when(F.col("n_shingles") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id"))
+    out = own.join(joined, own["doc_id"] == joined["x"], "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    rest = sketches.filter("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    return out.union(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _linked(sketches: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The same for documents whose ids have one set each."""
     linked = sketches.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     # One class a set; a group of copies is summed up before it is shuffled.
     reps = materialize(linked.groupBy("digest").agg(F.min("doc_id").alias("x")))

@@ -257,6 +257,16 @@ def test_near_duplicates(spark, words):
     assert sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in neardup.near_duplicates(lone, words).collect()) == [(0, None, True), (1, 1, True)]
 
 
+def test_ids_with_different_texts_are_linked_by_each(spark):
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(f"{p}{rng.randrange(10**6)}" for _ in range(80)) for p in "abcd")
+    rows = [(1, a), (1, b), (2, b + " more"), (3, "other " + a), (4, b), (5, c), (5, d), (6, d + " x"), (7, "alone"), (5, ""), (6, None), (None, a)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    expected = [(i, len(shingles(t, 2)), *((None, True) if i is None else (o := i if not t or i == 7 else 1 if i < 5 else 5, o == i))) for i, t in rows]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
+
+
 def test_min_max_is_unbiased():
     rng = np.random.default_rng(3)
     agree = []
