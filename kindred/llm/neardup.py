@@ -238,6 +238,13 @@ def _needed(entries: DataFrame, percent: int) -> DataFrame:
     return _tiled(entries).mapInArrow(run, "key long, x long").distinct()
 
 
+def margin(n: int, m: int, percent: int) -> float:
+    """By how much 100 times the shingles of two sets that agree in 32 bits must exceed the threshold before the sets are
+    surely alike: n * m / 2^32 are expected to agree by chance, 8 standard deviations more and some are allowed for."""
+    chance = n * m / 2**32
+    return 1000 + (100 + percent) * (chance + 8 * chance**0.5)
+
+
 def _cross(entries: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes of different components that share a bucket and whose sets, by 32 bits of each shingle, reach the
     threshold. Those that joins in the same tile connect already are left out, so a tile gives hardly more pairs than it
@@ -275,8 +282,8 @@ def _cross(entries: DataFrame, percent: int) -> DataFrame:
                     a, b = root(int(c[i])), root(int(c[k]))
                     if more >= 0 and a != b:
                         out.append((int(x[i]), int(x[k])))
-                        # 32 bits may count a shingle too many, so a pair close to the threshold joins nothing yet.
-                        if more >= 1000:
+                        # 32 bits may count shingles too many, so a pair close to the threshold joins nothing yet.
+                        if more >= margin(int(n[i]), int(n[k]), percent):
                             parent[max(a, b)] = min(a, b)
             if out:
                 a, b = zip(*{(min(p), max(p)) for p in out}, strict=True)

@@ -277,6 +277,20 @@ def test_min_max_is_unbiased():
     assert abs(np.mean(agree) - 110 / 150) < 0.02
 
 
+def test_margin_covers_what_32_bits_count_too_many():
+    rng = np.random.default_rng(4)
+    for n in (2_000, 400_000, 1_000_000):
+        x = rng.permutation(np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)))
+        cut = len(x) // 10 + 1  # just below 80 percent
+        s, t = x[cut:], x[: len(x) - cut]
+        both = np.isin((t >> np.uint64(32)).astype(np.uint32), (s >> np.uint64(32)).astype(np.uint32)).sum()
+        true = len(x) - 2 * cut
+        assert 100 * true < 80 * len(x) and 100 * both - 80 * (len(s) + len(t) - both) < neardup.margin(len(s), len(t), 80)
+        assert n < 10**6 or 100 * both - 80 * (len(s) + len(t) - both) >= 1000
+        # Sets well above the threshold join all the same.
+        assert 100 * len(s) - 80 * len(s) > neardup.margin(len(s), len(s), 80)
+
+
 def test_word_hashes_ignore_case_of_ascii_only():
     import pyarrow as pa
 
