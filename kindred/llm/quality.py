@@ -5,8 +5,8 @@ A document is a bag of passages of ``PASSAGE`` words; only the bag has a label.
 attention, the product of a tanh and a sigmoid branch, weighs the passages; the weighted encoding is scored. All of it is
 learned from the documents' labels alone, so attention finds the passages that decide.
 
-The fit reads at most ``MOST_DOCS`` labelled documents, taken by the hash of their id, and of each at most
-``MOST_PASSAGES`` passages, evenly spaced. Scoring reads whole texts, every passage of every document.
+The fit reads at most ``MOST_DOCS`` labelled documents, taken by the hash of their id. Fit and scoring read whole texts,
+every passage of every document.
 
 Cases: a null or empty text, or one of white space, is one empty passage and gets a score like any other. Of repeated
 labels of an id the smallest counts; null labels don't. Without labels, or with one kind only, every score is the share of
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm.common import slices, utf8, word_hashes, word_spans
 
-PASSAGE, MOST_DOCS, MOST_PASSAGES, THRESHOLD = 48, 6000, 256, 0.3
+PASSAGE, MOST_DOCS, THRESHOLD = 48, 6000, 0.3
 HELD_OUT = 5
 
 _KINDS = 12
@@ -165,10 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, column in slices(batches):
             x, at = passages(column)
-            rows = []
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                own = x[a:b] if b - a <= MOST_PASSAGES else x[np.linspace(a, b - 1, MOST_PASSAGES).astype(int)]
-                rows.append(own.tobytes())
+            rows = [x[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["doc_id", "y", "x"])
 
     # Ids may repeat in a table of documents; the sample's bound holds for them all the same. The order decides the fit.

@@ -121,6 +121,16 @@ def test_classifier_cases(spark):
     assert quality.score(docs(spark), model, keep=True).count() == 0 and quality.score(docs(spark), quality.Model(constant=0.9), keep=True).columns == docs(spark).columns
 
 
+def test_fit_reads_every_passage(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, labels: seen.append((bags, labels)) or quality.Model(constant=0.5))
+    long = " ".join(["word"] * 48 * 999 + ["#$%&"] * 48 + ["word"] * 48 * 501)
+    labels = spark.createDataFrame([(5, 0), (3, 1)], "doc_id long, quality int")
+    quality.train(spark.createDataFrame([(5, long), (3, "a b")], "doc_id long, text string"), labels)
+    bags = {len(b): b for b in seen[0][0]}
+    assert 1501 in bags and np.flatnonzero(bags[1501][:, 9]).tolist() == [999]
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     bags = [rng.normal(size=(rng.integers(1, 6), quality.FEATURES)).astype(np.float32) for _ in range(60)]
