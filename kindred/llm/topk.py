@@ -12,8 +12,9 @@ a row's score is the sum of its partial scores.
 Queries come in blocks of ``block`` rows, which bounds what is sent to the executors and back, however many there are.
 Scores are whole numbers and exact: doubles are used only where every sum fits in 53 bits, else 64-bit integers.
 
-Cases: a vector that is null or holds a null or non-finite component takes no part, as query or candidate; nor does one
-whose components, scaled, reach 2^28, beyond which 64 bits might not hold a score. A query meets only vectors of its own length. Ties
+Cases: a vector that is null or holds a null or non-finite component takes no part, as query or candidate.
+Vectors whose components, scaled, reach 2^28 are scored in whole numbers of any size, and only a pair whose score itself
+exceeds 64 bits is left out. A query meets only vectors of its own length. Ties
 go to the smaller id. A row meets every other id; rows that repeat the query's id count as the query itself. Of repeated
 ids among queries one row is taken, the least by its components. Empty tables give an empty result. Only the named
 columns are read.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from operator import mul
 
 import numpy as np
 import pandas as pd
@@ -39,8 +41,10 @@ LIMIT = float(1 << 28)
 
 def whole(vector: Column, scale: float = 1024.0) -> Column:
     """floor(scale * x) of each component x, as doubles that hold whole numbers; null for a vector that takes no part."""
-    scaled = F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("double"))
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * F.lit(scale) < F.lit(LIMIT)))
+    # From 2^52 on a double is whole already, and floor() would end at 64 bits.
+    one = lambda y: F.when(F.abs(y) < F.lit(2.0**52), F.floor(y).cast("double")).otherwise(y)
+    scaled = F.transform(vector, lambda x: one(x.cast("double") * F.lit(scale)))
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * F.lit(scale) < F.lit(float("inf"))))
     return F.when(vector.isNotNull() & fine, scaled)
 
 
@@ -54,7 +58,35 @@ def _arrays(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         rows = np.flatnonzero(size == d)
         for k in range(0, len(rows), STRIP):
             own = rows[k : k + STRIP]
-            yield ids[own], flat[at[own][:, None] + np.arange(d)]
+            x = flat[at[own][:, None] + np.arange(d)]
+            large = _large(x)
+            for part in (~large, large) if large.any() else (~large,):
+                if part.any():
+                    yield ids[own[part]], x[part]
+
+
+def _large(x: np.ndarray) -> np.ndarray:
+    return np.abs(x).max(axis=1, initial=0) >= LIMIT
+
+
+def _asked(queries: dict, d: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The queries of a length, those with large components apart."""
+    names, q = queries[d]
+    large = _large(q)
+    for part in (~large, large):
+        if part.any():
+            yield names[part], q[part]
+
+
+def _exact(q: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(query's row, vector's row, score) of the pairs whose score fits in 64 bits, by Python's whole numbers."""
+    right = [[int(v) for v in r] for r in x.tolist()]
+    for i, r in enumerate(q.tolist()):
+        left = [int(v) for v in r]
+        for j, other in enumerate(right):
+            score = sum(map(mul, left, other))
+            if -(2**63) <= score < 2**63:
+                yield i, j, score
 
 
 def _partial(q: np.ndarray, x: np.ndarray, lists: int) -> list[np.ndarray]:
@@ -75,16 +107,22 @@ def _gather(queries: dict, k: int, lists: int):
             for ids, x in _arrays(batch):
                 if x.shape[1] not in queries:
                     continue
-                names, q = queries[x.shape[1]]
-                parts = _partial(q, x, lists)
-                total = sum(parts[1:], parts[0])
-                n = min(k + 1, len(ids))  # one more, as the query itself may be there
-                for i, name in enumerate(names.tolist()):
-                    first = np.unique(np.concatenate([np.argpartition(-p[i], n - 1)[:n] for p in parts]))
-                    first = first[ids[first] != name]
-                    entries = [*best.get(name, []), *zip(total[i, first].tolist(), ids[first].tolist(), strict=True)]
-                    entries.sort(key=lambda e: (-e[0], e[1]))
-                    best[name] = entries[:k]
+                for names, q in _asked(queries, x.shape[1]):
+                    if _large(q[:1])[0] or _large(x[:1])[0]:
+                        for i, j, score in _exact(q, x):
+                            name = int(names[i])
+                            if ids[j] != name:
+                                best[name] = sorted([*best.get(name, []), (score, int(ids[j]))], key=lambda e: (-e[0], e[1]))[:k]
+                        continue
+                    parts = _partial(q, x, lists)
+                    total = sum(parts[1:], parts[0])
+                    n = min(k + 1, len(ids))  # one more, as the query itself may be there
+                    for i, name in enumerate(names.tolist()):
+                        first = np.unique(np.concatenate([np.argpartition(-p[i], n - 1)[:n] for p in parts]))
+                        first = first[ids[first] != name]
+                        entries = [*best.get(name, []), *((int(s), v) for s, v in zip(total[i, first].tolist(), ids[first].tolist(), strict=True))]
+                        entries.sort(key=lambda e: (-e[0], e[1]))
+                        best[name] = entries[:k]
         rows = [(q, int(s), i) for q, own in best.items() for s, i in own]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["query_id", "score", "vec_id"])
@@ -96,28 +134,31 @@ def _collect(queries: dict, cutoff: dict[int, int], k: int, lists: int):
     """Phases 2 and 3 within a partition: entries that reach the uniform threshold, then the rows that reach the cutoff."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = {d: np.array([cutoff.get(n, -(2**62)) for n in names.tolist()]) for d, (names, _) in queries.items()}
         for batch in batches:
             for ids, x in _arrays(batch):
                 if x.shape[1] not in queries:
                     continue
-                names, q = queries[x.shape[1]]
-                need = least[x.shape[1]]
-                parts = _partial(q, x, lists)
-                share = np.floor(need / lists) if parts[0].dtype == np.float64 else need // lists
-                reach = parts[0] >= share[:, None]
-                for p in parts[1:]:
-                    reach |= p >= share[:, None]
-                i, j = np.nonzero(reach)
-                score = sum((p[i, j] for p in parts[1:]), parts[0][i, j])
-                keep = (score >= need[i]) & (ids[j] != names[i])
-                i, j, score = i[keep], j[keep], score[keep]
-                # No partition needs to send more than its own k best of a query.
-                order = np.lexsort((ids[j], -score, i))
-                i, j, score = i[order], j[order], score[order]
-                rank = np.arange(len(i)) - np.searchsorted(i, i)
-                top = rank < k
-                yield pa.RecordBatch.from_arrays([pa.array(names[i[top]].astype(np.int64)), pa.array(ids[j[top]].astype(np.int64)), pa.array(score[top].astype(np.int64))], ["query_id", "vec_id", "score"])
+                for names, q in _asked(queries, x.shape[1]):
+                    need = np.array([cutoff.get(n, -(2**63)) for n in names.tolist()], np.int64)
+                    if _large(q[:1])[0] or _large(x[:1])[0]:
+                        found = list(_exact(q, x))
+                        i, j, score = (np.array([f[c] for f in found], np.int64) for c in range(3))
+                    else:
+                        parts = _partial(q, x, lists)
+                        share = np.floor(need / lists) if parts[0].dtype == np.float64 else need // lists
+                        reach = parts[0] >= share[:, None]
+                        for p in parts[1:]:
+                            reach |= p >= share[:, None]
+                        i, j = np.nonzero(reach)
+                        score = sum((p[i, j] for p in parts[1:]), parts[0][i, j])
+                    keep = (score >= need[i]) & (ids[j] != names[i])
+                    i, j, score = i[keep], j[keep], score[keep]
+                    # No partition needs to send more than its own k best of a query.
+                    order = np.lexsort((ids[j], ~score.astype(np.int64), i))
+                    i, j, score = i[order], j[order], score[order]
+                    rank = np.arange(len(i)) - np.searchsorted(i, i)
+                    top = rank < k
+                    yield pa.RecordBatch.from_arrays([pa.array(names[i[top]].astype(np.int64)), pa.array(ids[j[top]].astype(np.int64)), pa.array(score[top].astype(np.int64))], ["query_id", "vec_id", "score"])
 
     return run
 

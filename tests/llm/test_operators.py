@@ -99,6 +99,19 @@ def test_search_is_exact(spark):
     assert [r["score"] for r in topk.search(big, big.filter("vec_id = 0")).orderBy("rank").collect()] == [1024**2 * (4 * 10**10 + 3), 1024**2 * (4 * 10**10 + 2)]
 
 
+def test_large_components_are_scored(spark):
+    rows = [(0, [1.0, 0.5]), (1, [2.0**29, 3.0]), (2, [-(2.0**29), 1.0]), (3, [2.0**60, 0.0]), (4, [0.25, 2.0**18]), (5, [3.0, 4.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for k in (2, 10):
+        got = sorted(map(tuple, topk.search(v, v, k=k).collect()))
+        whole = [[int(1024 * x) for x in e] for _, e in rows]
+        expected = []
+        for i, q in enumerate(whole):
+            own = sorted((-s, j) for j, x in enumerate(whole) if j != i and -(2**63) <= (s := sum(a * b for a, b in zip(q, x, strict=True))) < 2**63)
+            expected += [(i, r + 1, j, -s) for r, (s, j) in enumerate(own[:k])]
+        assert got == sorted(expected)
+
+
 # 3
 
 
