@@ -8,31 +8,63 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+#: Bytes that Spark sends to a Python worker at a time while a table is written.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+_written: dict[str, SparkSession] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir``, which driver and executors share; in one of its own where that is unset."""
+    """A new path in the folder of ``spark.checkpoint.dir``, which driver and executors share. Where that is unset, one of
+    its own in local mode; on a cluster nobody else would see that, so there the setting is needed."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kindred-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
 
 
+def write(df: DataFrame, path: str) -> None:
+    """Appends ``df`` to the table at ``path``. Python workers get batches of bounded size, however long the rows are."""
+    conf = df.sparkSession.conf
+    before = conf.get(_BATCH)
+    conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        df.write.mode("append").parquet(path)
+    finally:
+        conf.set(_BATCH, before)
+    _written[path] = df.sparkSession
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a table: what comes after neither repeats nor loses what came before."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    _written.append((df.sparkSession, path))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    write(df, path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`cut` that nothing reads any more, such as those of a loop's earlier rounds."""
+    for df in tables:
+        path = getattr(df, "_table", None)
+        if path is not None and (spark := _written.pop(path, None)) is not None:
+            _delete(spark, path)
 
 
 @atexit.register
 def _clear() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session has ended
             return
