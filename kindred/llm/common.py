@@ -2,50 +2,39 @@
 
 from __future__ import annotations
 
-import atexit
+import gc
 import re
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from kindred.tables import cut as materialize
+from kindred.tables import drop, scratch, write
+
+__all__ = ["drop", "materialize", "scratch", "write"]
+
 #: Bytes of text that a Python worker turns into arrays at a time. A single longer text makes a batch of its own.
 SLICE_BYTES = 2 << 20
+T = TypeVar("T")
+_kept: dict[str, object] = {}
+
+
+def kept(key: str, make: Callable[[], T]) -> T:
+    """What a Python worker keeps between tasks for one operator; another operator's goes first, as workers outlive stages."""
+    if key not in _kept:
+        release()
+        _kept[key] = make()
+    return _kept[key]
+
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; one of its own only where that is unset."""
-    kept = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if kept:
-        return kept.rstrip("/")
-    if not (own := spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kindred-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: no executor's loss undoes it, and no step before it runs twice."""
-    path = f"{shared_dir(df.sparkSession)}/kindred-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((df.sparkSession, path))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _clear() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended; the folder is a scratch folder all the same
-            return
+def release() -> None:
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -32,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import POSITION, materialize, mix, shingle_sets, slices
+from kindred.llm.common import POSITION, drop, materialize, mix, offsets, release, shingle_sets, slices, strings
 
 PERMUTATIONS, ROWS, TILE = 100, 5, 512
+#: Shingles of a tile's side, about; a tile of longer texts has fewer classes.
+TILE_SHINGLES = 1 << 20
 #: Standard deviations below the threshold at which a signature's estimate rules a pair out.
 SIGMAS = 5.0
 
@@ -67,6 +69,7 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles; and where the set isn't empty its digest, its bands' keys and a byte for each value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch, column in slices(batches):
             sets = shingle_sets(column, words)
             full = [k for k, s in enumerate(sets) if len(s)]
@@ -131,12 +134,15 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     texts = _narrowed(docs, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x, ta in slices(batches, "ta"):
-            left, right = shingle_sets(ta, words), shingle_sets(pa.array(x.column(3).to_pylist(), pa.large_string()).fill_null(""), words)
+        release()
+        for x, tb in slices(batches, "tb"):
+            # The pairs come sorted by a, so one that has very many is hashed once a slice.
+            _, first, which = np.unique(x.column(0).to_numpy(), return_index=True, return_inverse=True)
+            left, right = shingle_sets(strings(x.column(2).take(pa.array(first))), words), shingle_sets(tb, words)
             keep = []
-            for s, t in zip(left, right, strict=True):
-                both = np.intersect1d(s, t, assume_unique=True).size
-                keep.append(both > 0 and 100 * both >= percent * (len(s) + len(t) - both))
+            for k, t in zip(which.tolist(), right, strict=True):
+                both = np.intersect1d(left[k], t, assume_unique=True).size
+                keep.append(both > 0 and 100 * both >= percent * (len(left[k]) + len(t) - both))
             yield pa.RecordBatch.from_arrays([x.column(0).filter(pa.array(keep)), x.column(1).filter(pa.array(keep))], ["a", "b"])
 
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
@@ -150,14 +156,17 @@ def components(links: DataFrame) -> DataFrame:
     logarithm of a component's width. Adaptive execution splits the joins of a node with very many links."""
     edges = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
     labels = materialize(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), F.least("a", "m").alias("c")))
+    before = labels
     while True:
         offered = edges.join(labels.select(F.col("x").alias("b"), F.col("c").alias("o")), "b").groupBy("a").agg(F.min("o").alias("m")).select(F.col("a").alias("x"), "m")
         lower = labels.join(offered, "x").select("x", F.col("c").alias("was"), F.least("c", "m").alias("c"))
         short = labels.select(F.col("x").alias("c"), F.col("c").alias("cc"))
         after = materialize(lower.join(short, "c", "left").select("x", "was", F.least("c", F.coalesce("cc", "c")).alias("c")))
         done = after.filter("c <> was").isEmpty()
-        labels = after.select("x", "c")
+        drop(before)
+        labels, before = after.select("x", "c"), after
         if done:
+            drop(edges)
             return labels
 
 
@@ -253,9 +262,12 @@ def _cross(entries: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_tile(batches):
             x, c, n = (t.column(k).to_numpy() for k in range(5, 8))
-            sets = [np.frombuffer(s, np.uint32) for s in t.column(10).to_pylist()]
-            words, place = np.unique(np.concatenate(sets), return_inverse=True)
-            starts = np.cumsum([0, *map(len, sets)])
+            sets = t.column(10).combine_chunks().cast(pa.large_binary())
+            starts = offsets(sets) // 4
+            own = np.frombuffer(sets.buffers()[2], np.uint32)[starts[0] : starts[-1]]
+            starts = starts - starts[0]
+            words = np.unique(own)
+            place = np.searchsorted(words, own).astype(np.int32)
             mark = np.zeros(len(words), bool)
             parent = {v: v for v in c.tolist()}
 
@@ -330,10 +342,11 @@ def _linked(sketches: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     classes = materialize(
         linked.select("doc_id", "digest", "keys", "sign", F.col("n_shingles").alias("n")).join(reps, (linked["digest"] == reps["digest"]) & (linked["doc_id"] == reps["x"])).select("x", "n", "keys", "sign").dropDuplicates(["x"])
     )
-    entries = classes.select(F.posexplode("keys").alias("band", "key"), "x")
-    sizes = entries.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    shared = materialize(entries.join(sizes, "key").select("key", "m", "band", "x"))
-    center = shared.groupBy("x").agg(F.sum("m").alias("w"))
+    entries = classes.select(F.posexplode("keys").alias("band", "key"), "x", "n")
+    # A bucket's weight: its classes, or by its shingles as many as would fill as many tiles.
+    sizes = entries.groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("n")).filter("k > 1").select("key", F.greatest("k", F.ceil(F.col("n") / F.lit(TILE_SHINGLES / TILE))).alias("m"), "k")
+    shared = materialize(entries.drop("n").join(sizes, "key").select("key", "m", "k", "band", "x"))
+    center = shared.groupBy("x").agg(F.sum("k").alias("w"))
     weighed = shared.join(center, "x")
     leaders = weighed.groupBy("key").agg(F.min(F.struct((-F.col("w")).alias("w"), "x"))["x"].alias("a"))
     pairs = shared.join(leaders, "key").filter("a <> x").select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b")).distinct()

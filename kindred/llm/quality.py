@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import slices, utf8, word_hashes, word_spans
+from kindred.llm.common import release, slices, utf8, word_hashes, word_spans
 
 PASSAGE, MOST_DOCS, THRESHOLD = 48, 6000, 0.3
 HELD_OUT = 5
@@ -163,6 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most:
     text = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch, column in slices(batches):
             x, at = passages(column)
             rows = [x[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -181,12 +182,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     if keep:
 
         def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             for batch, column in slices(batches, text_col):
                 yield batch.filter(pa.array(sent.value.score(*passages(column)) >= threshold))
 
         return docs.mapInArrow(reached, docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch, column in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sent.value.score(*passages(column)), pa.float64())], ["doc_id", "score"])
 

@@ -27,10 +27,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from kindred.llm.common import chunks, slices
+from kindred.llm.common import chunks, kept, slices
 
-#: Chunks whose counts a worker keeps; a full cache is emptied.
-CHUNKS = 1_000_000
+#: Chunks whose counts a worker keeps, none of more characters than ``LONG``; a full cache is emptied.
+CHUNKS, LONG = 500_000, 64
 
 
 class Automaton:
@@ -125,7 +125,9 @@ class Automaton:
             if found is None:
                 if len(known) >= CHUNKS:
                     known.clear()
-                found = known[c] = self.chunk(c)
+                found = self.chunk(c)
+                if len(c) <= LONG:
+                    known[c] = found
             words += found[0]
             tokens += found[1]
             unknown += found[2]
@@ -152,15 +154,9 @@ def sentencepiece_vocabulary(path: str) -> tuple[list[str], list[str | bytes]]:
     return [p for p in first if "▁" not in p], [*(p for p in inner if "▁" not in p), *single]
 
 
-_built: dict[str, Automaton] = {}
-
-
 def automaton(first: list[str], inner: list[str | bytes]) -> Automaton:
-    key = hashlib.sha256(repr((first, inner)).encode()).hexdigest()
-    if key not in _built:
-        _built.clear()
-        _built[key] = Automaton(first, inner)
-    return _built[key]
+    """One automaton a worker and vocabulary; its cache outlives a task."""
+    return kept(hashlib.sha256(repr((first, inner)).encode()).hexdigest(), lambda: Automaton(first, inner))
 
 
 def token_counts(docs: DataFrame, first: list[str], inner: list[str | bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
