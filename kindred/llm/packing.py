@@ -186,7 +186,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0) -> Da
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([doc, piece, start, length, crc, [now[1]] * len(doc), rank], kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
 
-    return encoded(docs, path, make, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long", by_library=True)
+    return encoded(docs, path, make, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long", by_matrix=True)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, rounds: int = ROUNDS) -> DataFrame:
@@ -211,5 +211,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, rounds:
             copy, slot = np.divmod(rank - p.start[k], p.each[k])
             yield f[["doc_id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=p.sequence[k] + copy, offset=p.offset[k] + slot * length)
 
+    # A row for each length of each partition: at most ``capacity`` numbers a partition. The optimizer may broadcast it while
+    # it is small; beyond that the join's shuffle is on (length, part), which no length or partition fills alone.
     ranked = cut.join(before.select("length", "part", "before"), ["length", "part"])
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank", "before").mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
