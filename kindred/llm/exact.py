@@ -6,8 +6,9 @@ the bucketed content, which holds the whole digest, the length and the row that
 When insertion finds no slot, the filter is doubled and rebuilt from those stored keys. Deletion removes one fingerprint
 and its key, so a digest whose last row goes is new again.
 
-Deduplication indexes each input partition on its own first, so that a group of copies sends one row from each partition,
-then indexes the digests of each shard. How rows are dealt follows the digest, of which by then each partition sends one.
+Deduplication indexes each input partition on its own first, so that a group of copies sends one row from each partition
+(or from each ``HELD`` digests of it), then indexes the digests of each shard, of which there are as many as the rows that
+were sent ask for. An index thus has a bounded size, however large the table is.
 
 Cases: a null text counts as empty, and all empty texts are equal. Of rows with equal ids and equal texts one stays, and
 both rows say so. A null id loses to any other and is kept where the group has no other. An empty table gives an empty
@@ -16,15 +17,18 @@ result. Only the named columns are read, so other columns may have any names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.llm.common import materialize
+
 SLOTS, KICKS = 4, 400
+#: Digests that one index holds at a time, and rows that are dealt to one shard on average.
+HELD, SHARD = 200_000, 50_000
 
 
 class CuckooIndex:
@@ -66,7 +70,7 @@ class CuckooIndex:
                 self.store[b][key] = value
                 return False
         while not self._place(key, value):
-            self._resize(key)
+            self._resize()
         return True
 
     def _place(self, key: bytes, value: object) -> bool:
@@ -99,7 +103,7 @@ class CuckooIndex:
             self.store[at][gone], held = held[2], came
         return False
 
-    def _resize(self, _: bytes) -> None:
+    def _resize(self) -> None:
         kept = [x for s in self.store for x in s.items()]
         buckets = self.buckets * 2
         while True:
@@ -135,25 +139,34 @@ def _largest(a, b):
     return b if a is None else a if b is None else max(a, b)
 
 
-def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each digest of the partition: the largest id and the sum of the counts."""
-    index = CuckooIndex(1024)
-    for b in batches:
-        for key, n_bytes, doc, n in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-            found = index.get(key)
-            if found is None:
-                index.insert(key, [n_bytes, doc, n])
-            else:
-                if found[0] != n_bytes:
-                    raise ValueError("two texts of different lengths have one SHA-256")
-                found[1], found[2] = _largest(found[1], doc), found[2] + n
+def _rows(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
     rows = list(index.items())
     for at in range(0, len(rows), 10_000):
         part = rows[at : at + 10_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _ in part], pa.binary()), pa.array([v[0] for _, v in part], pa.int64()), pa.array([v[1] for _, v in part], pa.int64()), pa.array([v[2] for _, v in part], pa.int64())],
-            ["digest", "n_bytes", "doc_id", "n"],
-        )
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.binary()), *(pa.array([v[c] for _, v in part], pa.int64()) for c in range(3))], ["digest", "n_bytes", "doc_id", "n"])
+
+
+def _indexed(held: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each digest of a partition a row with the largest id and the sum of the counts; where ``held`` is given, for
+    each digest among as many, after which a new index begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = CuckooIndex(1024)
+        for b in batches:
+            for key, n_bytes, doc, n in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                found = index.get(key)
+                if found is None:
+                    if held is not None and index.live >= held:
+                        yield from _rows(index)
+                        index = CuckooIndex(held)
+                    index.insert(key, [n_bytes, doc, n])
+                else:
+                    if found[0] != n_bytes:
+                        raise ValueError("two texts of different lengths have one SHA-256")
+                    found[1], found[2] = _largest(found[1], doc), found[2] + n
+        yield from _rows(index)
+
+    return run
 
 
 KEPT = "digest binary, n_bytes long, doc_id long, n long"
@@ -161,9 +174,9 @@ KEPT = "digest binary, n_bytes long, doc_id long, n long"
 
 def groups(found: DataFrame) -> DataFrame:
     """(digest, n_bytes, doc_id, n) for rows of :func:`digests`: the row that stays and the size of each group."""
-    local = found.select("digest", "n_bytes", "doc_id", F.lit(1).cast("long").alias("n")).mapInArrow(_indexed, KEPT)
-    # By now each partition sends a digest once, so a group of any size is as many rows as there are partitions at most.
-    return local.repartition("digest").mapInArrow(_indexed, KEPT)
+    local = materialize(found.select("digest", "n_bytes", "doc_id", F.lit(1).cast("long").alias("n")).mapInArrow(_indexed(HELD), KEPT))
+    # By now a group of any size is a few rows a partition.
+    return local.repartition(max(1, -(-local.count() // SHARD)), "digest").mapInArrow(_indexed(None), KEPT)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,12 +214,17 @@ def build(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     return groups(digests(docs, id_col, text_col)).withColumn("shard", shard(F.col("digest"), shards)).select("shard", "digest", "n_bytes", "doc_id", "n")
 
 
-def apply_changes(index: DataFrame, changes: DataFrame, shards: int) -> DataFrame:
+def apply_changes(index: DataFrame, changes: DataFrame, shards: int, live: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The index after ``changes`` (digest, n_bytes, doc_id, n): n rows of a digest are added, or removed where n < 0.
 
     Changes are summed by digest first, so each shard reads a digest once. Where a digest's live rows sum to none it is
-    deleted; where rows remain, the smallest change leaves the row that stays as it is, and a larger id replaces it."""
-    summed = changes.groupBy("digest").agg(F.max("n_bytes").alias("n_bytes"), F.max(F.when(F.col("n") > 0, F.col("doc_id"))).alias("doc_id"), F.sum("n").alias("n")).withColumn("shard", shard(F.col("digest"), shards))
+    deleted. Where rows remain, a larger id that came replaces the row that stays; where the row that stays went, the
+    largest id takes its place among the rows of that text in ``live``, the documents after the changes."""
+    came, went = F.when(F.col("n") > 0, F.col("doc_id")), F.when(F.col("n") < 0, F.col("doc_id"))
+    summed = changes.groupBy("digest").agg(F.max("n_bytes").alias("n_bytes"), F.max(came).alias("doc_id"), F.max(went).alias("gone"), F.sum("n").alias("n")).withColumn("shard", shard(F.col("digest"), shards))
+    hurt = summed.filter("gone IS NOT NULL").select("digest", "gone").join(index.select("digest", F.col("doc_id").alias("old")), "digest").filter("gone >= old").select("digest")
+    heirs = digests(live, id_col, text_col).join(hurt, "digest").groupBy("digest").agg(F.max("doc_id").alias("heir"))
+    index = index.join(heirs, "digest", "left").withColumn("doc_id", F.coalesce("heir", "doc_id"))
     both = index.select("shard", "digest", "n_bytes", "doc_id", "n", F.lit(0).alias("step")).unionByName(summed.select("shard", "digest", "n_bytes", "doc_id", "n", F.lit(1).alias("step")))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -239,10 +257,3 @@ def is_known(docs: DataFrame, index: DataFrame, id_col: str = "doc_id", text_col
     found = digests(docs, id_col, text_col)
     return found.join(index.select("digest", F.lit(True).alias("hit")), "digest", "left").select("doc_id", F.coalesce("hit", F.lit(False)).alias("known"))
 
-
-def _bits(index: CuckooIndex) -> np.ndarray:
-    """The fingerprints as an array of buckets by slots, 0 where free: what a stored filter would hold."""
-    out = np.zeros((index.buckets, SLOTS), np.uint16)
-    for b, prints in enumerate(index.table):
-        out[b, : len(prints)] = prints
-    return out
