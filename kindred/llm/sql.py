@@ -42,7 +42,7 @@ def link_trust(rules: list[tuple[str, str]]) -> str:
         f"WITH p AS MATERIALIZED (SELECT page_id, {low(f"coalesce(regexp_extract(url, '{url}', 1), '')")} host, coalesce(regexp_extract(url, '{url}', 2), '') path, html FROM pages)",
         f"j AS MATERIALIZED (SELECT *, CASE {' '.join(fits)} END r FROM p)",
         "a AS (SELECT host src, unnest(list_distinct(regexp_extract_all(html, '(?i)\\bhref\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1))) link FROM p WHERE host <> '')",
-        f"b AS (SELECT src, {low(f"regexp_extract(CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END, '{url}', 1)")} dst FROM a)",
+        f"b AS (SELECT src, {low(f"regexp_extract(CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END, '{url}', 1)")} dst FROM a WHERE regexp_matches(link, '{urls.ABSOLUTE}'))",
         "e AS MATERIALIZED (SELECT src, dst, count(*) n FROM b WHERE dst <> '' AND src <> dst GROUP BY ALL)",
         "g AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) fw, n / sum(n) OVER (PARTITION BY dst) bw FROM e)",
         "s AS (SELECT host, count(*) FILTER (r.verdict = 'allow') / count(*) t0, count(*) FILTER (r.verdict = 'block') / count(*) b0 FROM j WHERE host <> '' GROUP BY host)",

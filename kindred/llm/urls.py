@@ -22,11 +22,13 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import materialize
+from kindred.llm.common import drop, materialize
 
 #: The tolerance bounds what trust and distrust of a host still lack. ROUNDS is what the SQL beside this unrolls.
 DAMPING, TOLERANCE, ROUNDS = 0.85, 1e-9, 10
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+#: A link that names a host begins with a scheme or with ``//``; any other is relative, whatever stands further on.
+ABSOLUTE = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"
 LINK = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
 
 
@@ -53,7 +55,7 @@ def edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
     """(src, dst, n): links from a host's pages to another host, counted."""
     links = pages.select(host(pages[url_col]).alias("src"), F.explode(F.array_distinct(F.regexp_extract_all(pages[html_col], F.lit(LINK), F.lit(1)))).alias("link"))
     absolute = F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), "link")).otherwise(F.col("link"))
-    return links.filter("link LIKE '%//%'").select("src", host(absolute).alias("dst")).filter("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return links.filter(F.col("link").rlike(ABSOLUTE)).select("src", host(absolute).alias("dst")).filter("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
@@ -67,7 +69,7 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, roun
     out = links.groupBy("src").agg(F.sum("n").alias("out"))
     into = links.groupBy("dst").agg(F.sum("n").alias("in"))
     weighed = materialize(links.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("out")).alias("fw"), (F.col("n") / F.col("in")).alias("bw")))
-    k = 0
+    k, written = 0, rank
     while rounds is None or k < rounds:
         ahead = weighed.join(rank.filter("dt > 0").select(F.col("host").alias("src"), "dt"), "src").select(F.col("dst").alias("host"), (F.col("dt") * F.col("fw")).alias("t"), F.lit(0.0).alias("b"))
         back = weighed.join(rank.filter("db > 0").select(F.col("host").alias("dst"), "db"), "dst").select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("db") * F.col("bw")).alias("b"))
@@ -76,7 +78,9 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, roun
         rank = rank.join(got, "host", "left").select("host", (F.col("t") + new_t).alias("t"), (F.col("b") + new_b).alias("b"), new_t.alias("dt"), new_b.alias("db"))
         k += 1
         if k % 2 == 0:
-            rank = materialize(rank)
+            rank, old = materialize(rank), written
+            drop(old)
+            written = rank
             # A round passes on at most ``damping`` of what the last one did, so all later rounds together add no more
             # than this to any host.
             last = rank.agg(F.greatest(F.sum("dt"), F.sum("db"))).first()[0]
