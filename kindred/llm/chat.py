@@ -23,7 +23,7 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,6 +32,7 @@ from kindred.llm.common import materialize
 
 END = "</turn>"
 TRAINED = "assistant"
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def escape(text: str, role: bool = False) -> str:
@@ -135,7 +136,8 @@ def members(chosen: DataFrame, still: list[DataFrame]) -> DataFrame:
 
 
 def format_trees(messages: DataFrame, best: int | None = 1) -> DataFrame:
-    """tree_id, leaf_id, branch, score, formatted and loss_spans of each chosen branch of each tree.
+    """tree_id, leaf_id, branch, score, formatted and loss_spans of each chosen branch of each tree; written to a table, as
+    batches of conversations are bounded by their bytes there.
 
     ``messages``: tree_id, message_id, parent_id, role, text, score."""
     content = messages.groupBy("tree_id", "message_id").agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "parent_id", "score")).alias("r"))
@@ -150,25 +152,30 @@ def format_trees(messages: DataFrame, best: int | None = 1) -> DataFrame:
     ids = chosen.select(F.col("tree_id").alias("t"), F.col("leaf_id").alias("l"), "branch", "score")
     whole = gathered.join(ids, gathered["tree_id"].eqNullSafe(ids["t"]) & (gathered["leaf_id"] == ids["l"])).select("tree_id", "leaf_id", "branch", "score", "turns")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            done = [write([(t["role"], t["text"]) for t in turns]) for turns in f["turns"]]
-            yield f[["tree_id", "leaf_id", "branch", "score"]].assign(formatted=[x for x, _ in done], loss_spans=[[{"start": a, "end": b} for a, b in s] for _, s in done])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = [write([(t["role"], t["text"]) for t in turns]) for turns in b.column(4).to_pylist()]
+            spans = pa.array([[{"start": x, "end": y} for x, y in s] for _, s in done], SPANS)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([x for x, _ in done], pa.string()), spans], ["tree_id", "leaf_id", "branch", "score", "formatted", "loss_spans"])
 
-    return whole.mapInPandas(run, "tree_id long, leaf_id long, branch int, score double, formatted string, loss_spans array<struct<start:int,end:int>>")
+    kind = messages.schema["tree_id"].dataType.simpleString()
+    return materialize(whole.mapInArrow(run, f"tree_id {kind}, leaf_id {messages.schema['message_id'].dataType.simpleString()}, branch int, score double, formatted string, loss_spans array<struct<start:int,end:int>>"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id and what the formatted text and its spans give back: turns, trained text, sizes."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             rows = []
-            for conv, text, spans in zip(f["conv_id"], f["formatted"], f["loss_spans"], strict=True):
+            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 turns = parse(text)
                 loss = "".join(unescape(text[s["start"] : s["end"]]) for s in spans)
                 digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-                rows.append((conv, len(turns), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
-            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                rows.append((len(turns), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.select("conv_id", "formatted", "loss_spans").mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    kind = formatted.schema["conv_id"].dataType.simpleString()
+    return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
