@@ -9,7 +9,8 @@ a row's score is the sum of its partial scores.
    number of lists in one list or more, whatever the signs, so only such entries are collected.
 3. The collected rows' scores are resolved exactly; those below the cutoff go, and the k best of the rest are the result.
 
-Queries come in blocks of ``block`` rows, which bounds what is sent to the executors and back, however many there are.
+Queries come in blocks of ``block`` rows, which bounds what is sent to the executors and back, however many there are;
+each block's result is appended to a table, which is what the search returns.
 Scores are whole numbers and exact: doubles are used only where every sum fits in 53 bits, else 64-bit integers.
 
 Cases: a vector that is null or holds a null or non-finite component takes no part, as query or candidate.
@@ -23,16 +24,18 @@ columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from operator import mul
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kindred.llm.common import drop, materialize, scratch, write
+
 K, LISTS, BLOCK = 10, 4, 1024
 #: Rows that are scored at a time.
 STRIP = 2048
@@ -98,11 +101,11 @@ def _partial(q: np.ndarray, x: np.ndarray, lists: int) -> list[np.ndarray]:
     return [q[:, a:b] @ x[:, a:b].T for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def _gather(queries: dict, k: int, lists: int):
+def _gather(sent: Broadcast, k: int, lists: int):
     """Phase 1: for every query the k best of the entries that a partition's lists put first, with whole scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list] = {}
+        queries, best = sent.value, {}
         for batch in batches:
             for ids, x in _arrays(batch):
                 if x.shape[1] not in queries:
@@ -130,10 +133,11 @@ def _gather(queries: dict, k: int, lists: int):
     return run
 
 
-def _collect(queries: dict, cutoff: dict[int, int], k: int, lists: int):
+def _collect(sent: Broadcast, cutoff: dict[int, int], k: int, lists: int):
     """Phases 2 and 3 within a partition: entries that reach the uniform threshold, then the rows that reach the cutoff."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = sent.value
         for batch in batches:
             for ids, x in _arrays(batch):
                 if x.shape[1] not in queries:
@@ -168,25 +172,29 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, lists: int = LIST
     spark = vectors.sparkSession
     rows = vectors.select(vectors[id_col].alias("vec_id"), whole(vectors[vector_col], scale).alias("v")).filter("v IS NOT NULL AND vec_id IS NOT NULL")
     asked = queries.select(queries[id_col].alias("query_id"), whole(queries[vector_col], scale).alias("v")).filter("v IS NOT NULL AND query_id IS NOT NULL").groupBy("query_id").agg(F.min("v").alias("v"))
-    n = asked.count()
-    out, after = [], None
-    for _ in range(0, n, block):
+    asked, path, after = materialize(asked), scratch(spark), None
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    while True:
         # The next block by id: at most ``block`` vectors reach the driver.
         own = (asked if after is None else asked.filter(F.col("query_id") > F.lit(after))).orderBy("query_id").limit(block).collect()
+        if not own:
+            break
         after = own[-1]["query_id"]
         by: dict[int, list] = {}
         for r in own:
             by.setdefault(len(r["v"]), []).append(r)
-        sent = {d: (np.array([r["query_id"] for r in g], np.int64), np.array([r["v"] for r in g], np.float64).reshape(len(g), d)) for d, g in by.items()}
+        sent = spark.sparkContext.broadcast({d: (np.array([r["query_id"] for r in g], np.int64), np.array([r["v"] for r in g], np.float64).reshape(len(g), d)) for d, g in by.items()})
         local = rows.mapInArrow(_gather(sent, k, lists), "query_id long, score long, vec_id long")
-        ranked = local.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        ranked = local.withColumn("r", F.row_number().over(best))
         cutoff = {r["query_id"]: r["score"] for r in ranked.filter(F.col("r") == k).select("query_id", "score").collect()}
-        out.append(rows.mapInArrow(_collect(sent, cutoff, k, lists), "query_id long, vec_id long, score long"))
-    if not out:
+        found = rows.mapInArrow(_collect(sent, cutoff, k, lists), "query_id long, vec_id long, score long")
+        # Each block's result is written, so neither plans nor what was sent pile up with the queries.
+        write(found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), path)
+        sent.unpersist()
+    drop(asked)
+    if after is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = reduce(DataFrame.unionByName, out)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(path)
 
 
 def brute(vectors: pd.DataFrame, queries: pd.DataFrame, k: int = K) -> list[tuple[int, int, int, int]]:
