@@ -176,7 +176,7 @@ def rank_by_hand(pages, rules, damping=0.85, rounds=10):
             t0[h] += v == "allow"
             b0[h] += v == "block"
             for link in set(re.findall(r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", html or "")):
-                to = parse("http:" + link if link.startswith("//") else link)[0]
+                to = parse("http:" + link if link.startswith("//") else link)[0] if re.match("(?i)([a-z][a-z0-9+.-]*:)?//", link) else ""
                 if to and to != h:
                     links[h, to] += 1
     hosts = {*total, *(b for _, b in links)}
@@ -214,6 +214,12 @@ def test_urls(spark):
     assert urls.judge(df.filter("false"), rules).count() == 0
 
 
+def test_relative_links_are_no_edges(spark):
+    html = """<a href="/go?u=http://evil.net/x"> <a href='page//http://evil.net'> <a href=http:evil.net//x> <a HREF="HTTPS://Good.org/y"> <a href="//other.org">"""
+    df = spark.createDataFrame([(1, "http://a.com/", html)], "page_id long, url string, html string")
+    assert sorted(map(tuple, urls.edges(df).collect())) == [("a.com", "good.org", 1), ("a.com", "other.org", 1)]
+
+
 def test_trust_spreads_until_it_converges(spark):
     rules = [("block", "net/"), ("allow", "org/")]
     link = lambda *to: "".join(f'<a href="http://{x}/">' for x in to)
@@ -372,6 +378,14 @@ def test_telling_words_lose_no_match():
 # 7
 
 
+def test_index_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(exact, "HELD", 3)
+    monkeypatch.setattr(exact, "SHARD", 4)
+    d = docs(spark, [f"t{k % 17}" for k in range(100)]).coalesce(2)
+    got = exact.deduplicate(d).collect()
+    assert all(r["keep_id"] == max(k for k in range(100) if k % 17 == r["doc_id"] % 17) and r["group_size"] == len(range(r["doc_id"] % 17, 100, 17)) for r in got) and len(got) == 100
+
+
 def test_cuckoo_index_inserts_deletes_and_grows():
     rng, live, index = random.Random(1), {}, exact.CuckooIndex(4)
     for k in range(20000):
@@ -404,9 +418,13 @@ def test_exact_duplicates(spark):
 def test_index_outlives_changes(spark):
     d = docs(spark)
     index = exact.build(d, 3)
-    more = exact.apply_changes(index, exact.changes(docs(spark, ["new", "a"], 90), 1), 3)
+    more = exact.apply_changes(index, exact.changes(docs(spark, ["new", "a"], 90), 1), 3, d.union(docs(spark, ["new", "a"], 90)))
     assert more.agg(F.sum("n")).first()[0] == len(TEXTS) + 2
-    less = exact.apply_changes(more, exact.changes(docs(spark, ["new"], 90), -1), 3)
+    less = exact.apply_changes(more, exact.changes(docs(spark, ["new"], 90), -1), 3, d.union(docs(spark, ["a"], 91)))
+    # The row that stays of "a" is 91; when it goes, 3 takes its place.
+    after = exact.apply_changes(less, exact.changes(docs(spark, ["a"], 91), -1), 3, d)
+    key = hashlib.sha256(b"a").digest()
+    assert [r["doc_id"] for x in (less, after) for r in x.collect() if bytes(r["digest"]) == key] == [91, 3]
     known = {r["doc_id"]: r["known"] for r in exact.is_known(docs(spark, ["new", "a", "never"], 200), less).collect()}
     assert known == {200: False, 201: True, 202: False}
 
@@ -477,6 +495,13 @@ def test_reply_trees(spark):
     assert chat.format_trees(df, 1).count() == 3 and chat.format_trees(df.filter("false")).count() == 0
 
 
+def test_large_ids_beside_null_ones(spark):
+    rows = [(None, 0, "user", "a"), (2**60 + 1, 0, "assistant", "b"), (2**60 + 1, 1, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    got = chat.read_back(chat.format_trees(chat.tree_of_turns(df)).withColumnRenamed("tree_id", "conv_id")).collect()
+    assert sorted(((r["conv_id"], r["n_turns"], r["loss_chars"]) for r in got), key=str) == [(2**60 + 1, 2, 1), (None, 1, 0)]
+
+
 def test_conversations(spark):
     rows = [(1, 2, "assistant", "b"), (1, 1, "user", None), (1, None, "system", "s"), (2, 1, None, "x"), (2, 1, "assistant", "same"), (2, 1, "assistant", "same"), (-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("score", F.lit("x")).withColumn("depth", F.lit(1))
@@ -502,7 +527,7 @@ def test_encoder_equals_the_library(own):
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["a<|endoftext|>b <|startoftext|>", "<|EndOfText|>", "ΑΣ ΑΣ.", "x</w>y", "", "z" * 5000]
     pdf = pd.read_parquet(f"{SF}/documents.parquet")
     texts += pdf["text"].tolist()
-    library = bpe.WordBpe(bpe.vocabulary(WORDS), by_library=True)
+    library = bpe.WordBpe(bpe.vocabulary(WORDS), by_matrix=True)
     for t, ids, other, e in zip(texts, own.encode(texts), library.encode(texts), tok.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == e.ids and other == ids, t
         assert own.decode(ids) == tok.decode(e.ids, skip_special_tokens=False), t
