@@ -36,7 +36,7 @@ def fit(faces: DataFrame, cfg: Classifier) -> tuple[PipelineModel | None, Report
     found = sorted((r["person_id"], r["n"]) for r in classes.collect())
     need = max(2, cfg.min_persons)
     if len(found) < need:
-        return None, Report(False, reason=f"need >= {need} persons with >= {cfg.min_samples_per_person} samples, have {len(found)}")
+        return None, Report(False, sum(k for _, k in found), len(found), reason=f"need >= {need} persons with >= {cfg.min_samples_per_person} samples, have {len(found)}")
     rows = labelled.join(F.broadcast(classes), "person_id", "left_semi").select("person_id", array_to_vector(V.l2_normalize(F.col("embedding"))).alias("features"))
     n = sum(k for _, k in found)
     if cfg.model == "mlp":

@@ -1,25 +1,28 @@
 """Clusters of unit vectors and the passes over them: centroids, small clusters, outliers, noise.
 
 Rows are (id LONG, embedding ARRAY, cluster_id INT); -1 is noise. DBSCAN and average linkage work on the graph of near
-pairs and its components, so only a component, not the table, has to fit a task.
+pairs and its components, so only a component, not the table, has to fit a task. HDBSCAN's spanning tree is made in rounds
+where the points are many.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from kindred import tables
 from kindred.config import Clustering
 from kindred.functions import vectors as V
 from kindred.operators import neighbors, trees
+from kindred.operators.graphs import components
 from kindred.tables import cut
 
 NOISE = -1
-#: Points of which one task holds all: HDBSCAN's tree isn't split, so more are refused.
-WHOLE = 200_000
+#: Points of which one task makes the whole tree of HDBSCAN.
+WHOLE = 20_000
 
 
 def centroids(rows: DataFrame) -> DataFrame:
@@ -52,26 +55,10 @@ def reattach_noise(rows: DataFrame, centers: DataFrame, farthest: float) -> Data
     return rows.join(near, "id", "left").withColumn("cluster_id", F.coalesce("to", "cluster_id")).select(rows.columns)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, c) for every end of an edge (i, j): c is the smallest id it reaches. Labels sink along edges and jump to
-    their label's label until none changes."""
-    both = cut(edges.select("i", "j").union(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))))
-    labels = cut(both.groupBy("i").agg(F.least(F.min("i"), F.min("j")).alias("c")).select(F.col("i").alias("id"), "c"))
-    while True:
-        seen = both.join(labels.select(F.col("id").alias("j"), F.col("c").alias("o")), "j").groupBy("i").agg(F.min("o").alias("o"))
-        lower = labels.join(seen, labels["id"] == seen["i"]).select("id", F.col("c").alias("was"), F.least("c", "o").alias("c"))
-        jump = labels.select(F.col("id").alias("c"), F.col("c").alias("cc"))
-        after = cut(lower.join(jump, "c", "left").select("id", "was", F.least("c", F.coalesce("cc", "c")).alias("c")))
-        if after.filter("c <> was").isEmpty():
-            return after.select("id", "c")
-        labels = after.select("id", "c")
-
-
 def numbered(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Clusters numbered from 0 by their smallest member: ``found`` is (id, c), c null for noise."""
-    names = found.filter("c IS NOT NULL").select("c").distinct()
-    # One row a cluster; the number of a cluster is its rank among all.
-    order = names.withColumn("cluster_id", (F.row_number().over(Window.orderBy("c")) - 1).cast("int"))
+    found = cut(found.filter("c IS NOT NULL"))
+    order = tables.numbered(found.select("c").distinct(), "n", "c").select("c", F.col("n").cast("int").alias("cluster_id"))
     own = found.join(order, "c").select("id", "cluster_id")
     return rows.select("id", "embedding").join(own, "id", "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(NOISE)))
 
@@ -84,16 +71,17 @@ def dbscan(rows: DataFrame, eps: float, min_samples: int) -> DataFrame:
     core = cut(both.groupBy("i").agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select("i"))
     left, right = core.select("i"), core.select(F.col("i").alias("j"))
     links = pairs.select("i", "j").join(left, "i").join(right, "j").select("i", "j").union(core.select("i", F.col("i").alias("j")))
-    comp = components(links)
-    near = both.join(comp.select(F.col("id").alias("j"), "c"), "j").groupBy("i").agg(F.min("c").alias("c"))
+    comp = components(links.toDF("a", "b"))
+    near = both.join(comp.select(F.col("x").alias("j"), "c"), "j").groupBy("i").agg(F.min("c").alias("c"))
     return numbered(rows, near.select(F.col("i").alias("id"), "c"))
 
 
 def agglomerative(rows: DataFrame, threshold: float) -> DataFrame:
     """id, embedding and cluster_id by average linkage. Two clusters nearer than the threshold have a pair that is, so
-    merges stay within components of the near pairs, and each component is one task's work."""
+    merges stay within components of the near pairs. A component is one task's work, which holds its vectors and their
+    sums but no distances; points without a near one are clusters of their own and reach no task."""
     pairs = neighbors.pairs_within(rows, threshold).filter(1 - F.col("similarity") < threshold)
-    comp = components(pairs.select("i", "j").union(rows.select(F.col("id").alias("i"), F.col("id").alias("j"))))
+    comp = cut(components(pairs.select(F.col("i").alias("a"), F.col("j").alias("b"))).withColumnRenamed("x", "id"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
@@ -102,21 +90,80 @@ def agglomerative(rows: DataFrame, threshold: float) -> DataFrame:
         return pd.DataFrame({"id": frame["id"].to_numpy(), "c": first.to_numpy()})
 
     found = rows.select("id", "embedding").join(comp, "id").groupBy("c").applyInPandas(run, "id long, c long")
-    return numbered(rows, found)
-
-
-def hdbscan(rows: DataFrame, min_cluster_size: int, min_samples: int) -> DataFrame:
-    """id, embedding and cluster_id. The tree of all points is one task's work, so their number is checked."""
-    n = rows.limit(WHOLE + 1).count()
-    if n > WHOLE:
-        raise ValueError(f"more than {WHOLE} points: cluster them with dbscan or agglomerative, or one vector a track")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id")
-        labels = trees.density_labels(np.vstack(frame["embedding"]).astype(np.float64), min_cluster_size, min_samples)
-        return pd.DataFrame({"id": frame["id"].to_numpy(), "cluster_id": labels.astype(np.int32)})
-
-    found = rows.select("id", "embedding", F.lit(1).alias("one")).groupBy("one").applyInPandas(run, "id long, cluster_id int")
+    alone = rows.select("id").join(comp, "id", "left_anti").select("id", F.col("id").alias("c"))
+    return numbered(rows, found.union(alone))
+
+
+def spanning_edges(rows: DataFrame, min_samples: int, tile: int = neighbors.BLOCK) -> DataFrame:
+    """(d, a, b): the minimum spanning tree of all points under mutual reachability, by Boruvka's rounds.
+
+    Each round every component finds its shortest edge to another one and joins along it, so there are at most log2(n)
+    rounds. Points meet in tiles, which hand on one edge a component; edges of one length are ordered by their ends, so
+    that no circle arises. Labels and edges are tables."""
+    points = cut(rows.select("id", F.col("embedding").cast("array<double>").alias("v")).join(neighbors.kth_distance(rows, max(1, min_samples)), "id"))
+    n, spark, path = points.count(), rows.sparkSession, tables.scratch(rows.sparkSession)
+    labels = cut(points.select("id", F.col("id").alias("c")))
+
+    def run(key, table):
+        ids, x, core, c = table["id"].to_numpy(), neighbors.matrix(table["v"]), table["core"].to_numpy(), table["c"].to_numpy()
+        left, right = neighbors.sides(key, table["side"].to_numpy())
+        best: dict[int, tuple[float, int, int]] = {}
+        for mine, others in ((left, right),) if left is right else ((left, right), (right, left)):
+            for s in range(0, len(mine), 512):
+                own = mine[s : s + 512]
+                d = np.sqrt(np.maximum(0.0, 2 - 2 * (x[own] @ x[others].T)))
+                d = np.maximum(np.maximum(d, core[own][:, None]), core[others][None])
+                d[c[own][:, None] == c[others][None]] = np.inf
+                least = d.min(axis=1, initial=np.inf)
+                for k in np.flatnonzero(np.isfinite(least)).tolist():
+                    near = ids[others[np.flatnonzero(d[k] == least[k])]]
+                    me = int(ids[own[k]])
+                    edge = min((float(least[k]), min(me, int(o)), max(me, int(o))) for o in near.tolist())
+                    name = int(c[own[k]])
+                    if name not in best or edge < best[name]:
+                        best[name] = edge
+        return pa.table({"c": pa.array(best, pa.int64()), "d": pa.array([e[0] for e in best.values()], pa.float64()), "a": pa.array([e[1] for e in best.values()], pa.int64()), "b": pa.array([e[2] for e in best.values()], pa.int64())})
+
+    while n > 1:
+        placed = neighbors.tiled(points.join(labels, "id").withColumn("cell", F.lit(0)), F.lit(max(1, -(-n // tile))))
+        found = placed.groupBy("cell", "a", "b").applyInArrow(run, "c long, d double, a long, b long")
+        short = cut(found.groupBy("c").agg(F.min(F.struct("d", "a", "b")).alias("e")).select("e.*").distinct())
+        if short.isEmpty():
+            break
+        tables.write(short, path)
+        of = lambda end: labels.select(F.col("id").alias(end), F.col("c").alias(f"c{end}"))
+        joined = components(short.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        after = cut(labels.join(joined, labels["c"] == joined["x"], "left").select("id", F.coalesce(joined["c"], labels["c"]).alias("c")))
+        tables.drop(labels, short)
+        labels = after
+        if labels.select("c").distinct().limit(2).count() < 2:
+            break
+    if n < 2:
+        return spark.createDataFrame([], "d double, a long, b long")
+    return spark.read.schema("d double, a long, b long").parquet(path)
+
+
+def hdbscan(rows: DataFrame, min_cluster_size: int, min_samples: int, whole: int = WHOLE) -> DataFrame:
+    """id, embedding and cluster_id. Up to ``whole`` points one task makes the tree from the vectors; of more, the spanning
+    tree is made in rounds over all tasks, and one task condenses its edges: a number and two ids a point, no vectors."""
+    if rows.limit(whole + 1).count() <= whole:
+
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("id")
+            labels = trees.density_labels(np.vstack(frame["embedding"]).astype(np.float64), min_cluster_size, min_samples)
+            return pd.DataFrame({"id": frame["id"].to_numpy(), "cluster_id": labels.astype(np.int32)})
+
+        found = rows.select("id", "embedding", F.lit(1).alias("one")).groupBy("one").applyInPandas(run, "id long, cluster_id int")
+        return rows.select("id", "embedding").join(found, "id")
+
+    def condense(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["d", "a", "b"])
+        ids = np.unique(frame[["a", "b"]].to_numpy())
+        a, b = (np.searchsorted(ids, frame[c].to_numpy()).tolist() for c in ("a", "b"))
+        labels = trees.condensed_labels(len(ids), list(zip(frame["d"].tolist(), a, b, strict=True)), min_cluster_size)
+        return pd.DataFrame({"id": ids, "cluster_id": labels.astype(np.int32)})
+
+    found = spanning_edges(rows, min_samples).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(condense, "id long, cluster_id int")
     return rows.select("id", "embedding").join(found, "id")
 
 

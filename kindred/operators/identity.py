@@ -11,10 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.pandas.types import to_arrow_type
 
+from kindred import tables
 from kindred.config import Prototypes
 from kindred.functions import vectors as V
 from kindred.operators import neighbors
@@ -38,10 +40,29 @@ def ema(first: Column, rest: Column, alpha: float) -> Column:
 
 
 def learned(rows: DataFrame, key: str, order: str, alpha: float) -> DataFrame:
-    """(key, vector, n): the prototype of each key, begun by its first vector and moved by the others in order."""
-    whole = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), V.doubles(F.col("embedding")).alias("v")))).alias("s"))
-    vectors = F.transform("s", lambda x: x["v"])
-    return whole.select(key, ema(F.get(vectors, F.lit(0)), F.slice(vectors, 2, F.greatest(F.size("s") - 1, F.lit(0))), alpha).alias("vector"), F.size("s").cast("long").alias("n"))
+    """(key, vector, n): the prototype of each key, begun by its first vector and moved by the others in order.
+
+    The fold of a key is sequential by definition; its rows come sorted and in batches, and only its prototype is held."""
+    kind = rows.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, v, n, done = None, None, 0, []
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), neighbors.matrix(b.column(1)) if b.num_rows else (), strict=True):
+                if n and k == name:
+                    v, n = unit((1 - alpha) * v + alpha * x), n + 1
+                    continue
+                if n:
+                    done.append((name, v, n))
+                name, v, n = k, x, 1
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], to_arrow_type(kind)), pa.array([d[1] for d in done], pa.list_(pa.float64())), pa.array([d[2] for d in done], pa.int64())], [key, "vector", "n"])
+                done = []
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([name], to_arrow_type(kind)), pa.array([v], pa.list_(pa.float64())), pa.array([n], pa.int64())], [key, "vector", "n"])
+
+    dealt = rows.select(key, F.col(order).alias("o"), V.doubles(F.col("embedding")).alias("v")).repartition(key).sortWithinPartitions(key, "o", "v").select(key, "v")
+    return dealt.mapInArrow(run, f"`{key}` {kind.simpleString()}, vector array<double>, n long")
 
 
 def match(points: DataFrame, prototypes: DataFrame, threshold: float) -> DataFrame:
@@ -71,8 +92,7 @@ def resolve(points: DataFrame, prototypes: DataFrame, threshold: float, verdicts
 def appended(prototypes: DataFrame, new: DataFrame, next_number: int, now: float) -> DataFrame:
     """``prototypes`` with rows (vector, count, ord) of ``new`` as new persons, numbered on from ``next_number`` in order."""
     last = prototypes.agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("s"))
-    number = (F.row_number().over(Window.orderBy("ord")) - 1).cast("int")
-    rows = new.withColumn("k", number).crossJoin(F.broadcast(last))
+    rows = tables.numbered(new, "k", "ord").withColumn("k", F.col("k").cast("int")).crossJoin(F.broadcast(last))
     made = rows.select(
         person(F.col("k") + F.lit(next_number)).alias("person_id"), (F.col("s") + F.col("k")).cast("int").alias("seq"), V.l2_normalize(F.col("vector")).alias("vector"), F.col("count").cast("long").alias("count"),
         F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"), F.lit(None).cast("string").alias("label"),
@@ -126,6 +146,10 @@ class Book:
         self.rows[k][2], self.rows[k][3], self.rows[k][5] = self.m[k], self.rows[k][3] + 1, self.now
         return self.rows[k][0]
 
+    def place(self, who: str | None) -> int | None:
+        """Where a person stands, None where nobody of that name is known."""
+        return next((k for k, r in enumerate(self.rows) if r[0] == who), None) if who is not None else None
+
     def add(self, e: np.ndarray, count: int) -> str:
         v = unit(e)
         seq = max((r[1] for r in self.rows), default=-1) + 1
@@ -139,32 +163,39 @@ def absorb(centers: DataFrame, noise: DataFrame, prototypes: DataFrame, cfg: Pro
     """Clusters and then noise against the prototypes, each step seeing what the earlier ones learned.
 
     ``centers``: (cluster_id, vector, n), ascending; a match moves the prototype once, else a new person begins with the
-    cluster's size. ``noise``: (id, embedding), in order of id; a match moves the prototype, else the row stays unknown
-    (or begins a person of its own where ``match_all``). Returns rows of kind cluster (key, person_id, score), noise
-    (key, person_id, score) and prototype (person_id and the other columns).
+    cluster's size. ``noise``: (id, embedding), in order of id, with a classifier's verdict (said, confidence) where it has
+    these columns; a verdict for a person who is known moves that person's prototype, else a match moves the matched one,
+    else the row stays unknown (or begins a person of its own where ``match_all``). Returns rows of kind cluster (key,
+    person_id, score), noise (key, person_id, score), prototype (person_id and the other columns) and next (key: the
+    number of the next new person).
 
     The fold is sequential by definition. It reads one centroid a cluster and the noise; members of clusters stay out."""
+    if "said" not in noise.columns:
+        noise = noise.withColumns({"said": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")})
     steps = (
         prototypes.select(F.lit(0).alias("kind"), F.col("seq").cast("long").alias("k"), "vector", "person_id", "count", "created_at", "updated_at", "label")
         .unionByName(centers.select(F.lit(1).alias("kind"), F.col("cluster_id").cast("long").alias("k"), "vector", F.col("n").alias("count")), allowMissingColumns=True)
-        .unionByName(noise.select(F.lit(2).alias("kind"), F.col("id").cast("long").alias("k"), V.doubles(F.col("embedding")).alias("vector"), F.lit(1).cast("long").alias("count")), allowMissingColumns=True)
+        .unionByName(noise.select(F.lit(2).alias("kind"), F.col("id").cast("long").alias("k"), V.doubles(F.col("embedding")).alias("vector"), F.lit(1).cast("long").alias("count"), "said", "confidence"), allowMissingColumns=True)
     )
     threshold, alpha = cfg.match_threshold, cfg.ema_alpha
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, book, out = [], None, []
+        held, book = [], None
 
         def start() -> Book:
             return Book([(r.person_id, int(r.k), r.vector, int(r.count_), r.created_at, r.updated_at, r.label) for r in held], threshold, alpha, next_number, now)
 
         for f in frames:
+            out = []
             for r in f.rename(columns={"count": "count_"}).itertuples(index=False):
                 if r.kind == 0:
                     held.append(r)
                     continue
                 book = book or start()
                 e = np.asarray(r.vector, np.float64)
-                k, score = book.match(e)
+                k, score = book.place(r.said), r.confidence
+                if k is None:
+                    k, score = book.match(e)
                 if k is not None:
                     who = book.move(k, e)
                 elif r.kind == 1 or match_all:
@@ -172,13 +203,14 @@ def absorb(centers: DataFrame, noise: DataFrame, prototypes: DataFrame, cfg: Pro
                 else:
                     who = None
                 out.append(("cluster" if r.kind == 1 else "noise", int(r.k), who, score))
+            if out:
+                yield pd.DataFrame([(*r, None, None, None, None, None) for r in out], columns=COLUMNS, dtype=object)
         book = book or start()
-        if out:
-            yield pd.DataFrame([(*r, None, None, None, None, None) for r in out], columns=COLUMNS, dtype=object)
-        kept = [("prototype", r[1], r[0], None, r[2], r[3], r[4], r[5], r[6]) for r in book.rows]
+        kept = [("prototype", r[1], r[0], None, r[2], r[3], r[4], r[5], r[6]) for r in book.rows] + [("next", book.next, *[None] * 7)]
         yield pd.DataFrame(kept, columns=COLUMNS, dtype=object)
 
-    return steps.coalesce(1).sortWithinPartitions("kind", "k").mapInPandas(run, "kind string, key long, person_id string, score double, vector array<double>, count long, created_at double, updated_at double, label string")
+    # The fold alone is one task; what it reads is made by as many as there are.
+    return steps.repartition(1).sortWithinPartitions("kind", "k").mapInPandas(run, "kind string, key long, person_id string, score double, vector array<double>, count long, created_at double, updated_at double, label string")
 
 
 COLUMNS = ["kind", "key", "person_id", "score", "vector", "count", "created_at", "updated_at", "label"]
@@ -188,5 +220,10 @@ def prototypes_of(folded: DataFrame) -> DataFrame:
     return folded.filter("kind = 'prototype'").select("person_id", F.col("key").cast("int").alias("seq"), "vector", "count", "created_at", "updated_at", "label")
 
 
+def next_of(folded: DataFrame) -> int:
+    """The number of the next new person after a fold."""
+    return int(folded.filter("kind = 'next'").first()["key"])
+
+
 def none(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], SCHEMA)

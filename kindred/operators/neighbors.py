@@ -1,22 +1,25 @@
 """Nearest references, pairs within a distance, k-th neighbours.
 
 Vectors travel as Arrow batches and are compared as matrices, in blocks of a fixed size. References are read in blocks
-too, so what a task holds doesn't grow with either side. Pairs within a distance are found in cells around pivots: a pair
-that close shares a cell, by the triangle inequality, so nothing is compared across distant cells and nothing is missed.
+too, so what a task holds doesn't grow with either side. Points that meet each other are dealt to tiles, each tile of
+rows meeting each other once. Pairs within a distance are found in cells around pivots where those spare work: a pair
+that close shares a cell, by the triangle inequality, so nothing is missed; the rows of each cell are counted first, and
+where cells would hold most points most of the time there is one for all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from kindred.tables import cut, drop, scratch, write
+
 #: References sent to the executors at a time; vectors of a tile.
 BLOCK, TILE = 2048, 1024
 
@@ -35,12 +38,13 @@ def nearest(points: DataFrame, refs: DataFrame, block: int = BLOCK) -> DataFrame
     kind, of = points.schema["id"].dataType.simpleString(), refs.schema["ref"].dataType.simpleString()
     name_type = to_arrow_type(refs.schema["ref"].dataType)
     known = refs.select("seq", "ref", F.col("vector").cast("array<double>").alias("vector"))
-    parts, after = [], None
+    schema = f"id {kind}, ref {of}, seq long, similarity double"
+    blocks, after, path = 0, None, None
     while True:
         own = (known if after is None else known.filter(F.col("seq") > F.lit(after))).orderBy("seq").limit(block).collect()
         if not own:
             break
-        after = own[-1]["seq"]
+        after, blocks = own[-1]["seq"], blocks + 1
         m, names, seqs = np.array([r["vector"] for r in own], np.float64), [r["ref"] for r in own], np.array([r["seq"] for r in own])
 
         def run(batches: Iterator[pa.RecordBatch], m=m, names=names, seqs=seqs) -> Iterator[pa.RecordBatch]:
@@ -50,17 +54,35 @@ def nearest(points: DataFrame, refs: DataFrame, block: int = BLOCK) -> DataFrame
                     k = s.argmax(axis=1)
                     yield pa.RecordBatch.from_arrays([b.column(0), pa.array([names[i] for i in k.tolist()], name_type), pa.array(seqs[k], pa.int64()), pa.array(s[np.arange(len(k)), k])], ["id", "ref", "seq", "similarity"])
 
-        parts.append(rows.mapInArrow(run, f"id {kind}, ref {of}, seq long, similarity double"))
+        found = rows.mapInArrow(run, schema)
+        if blocks == 1 and len(own) < block:
+            return found.select("id", "ref", "similarity")
+        # Each block's answers are written, so plans and blocks don't pile up with the references.
+        path = path or scratch(points.sparkSession)
+        write(found, path)
         if len(own) < block:
             break
-    if not parts:
+    if not blocks:
         return points.sparkSession.createDataFrame([], f"id {kind}, ref {of}, similarity double")
-    if len(parts) == 1:
-        return parts[0].select("id", "ref", "similarity")
-    best = reduce(DataFrame.union, parts).groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "seq", "ref")).alias("b"))
+    best = points.sparkSession.read.schema(schema).parquet(path).groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "seq", "ref")).alias("b"))
     return best.select("id", F.col("b.ref").alias("ref"), (-F.col("b.s")).alias("similarity"))
 
 
+def tiled(rows: DataFrame, tiles: Column) -> DataFrame:
+    """``rows`` (cell, id, ...) with (a, b, side): each row in its own tile's pairs with every tile of its cell, so that any
+    two rows of a cell meet in one (cell, a, b). ``tiles`` is the number of the cell's tiles."""
+    own = rows.withColumn("t", tiles.cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("t")).cast("int"))
+    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+    return spread.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other"), "side": F.col("own") > F.col("other")}).drop("t", "own", "other")
+
+
+def sides(key: tuple, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a tile's two sides; all rows twice where a tile meets itself."""
+    if key[1].as_py() == key[2].as_py():
+        return (np.arange(len(side)),) * 2
+    return np.flatnonzero(~side), np.flatnonzero(side)
+
+
 def _cells(points: DataFrame, radius: float, pivots: int) -> DataFrame:
     """Every point in its nearest pivot's cell, and in those of pivots so near that a pair may reach across."""
     chosen = points.select("id", F.col("embedding").cast("array<double>").alias("v")).orderBy(F.xxhash64("id")).limit(pivots).collect()
@@ -86,67 +108,74 @@ def pairs_within(points: DataFrame, distance: float, tile: int = TILE) -> DataFr
     schema = "i long, j long, similarity double"
     if not n:
         return points.sparkSession.createDataFrame([], schema)
-    cells = _cells(points, radius, max(1, min(256, n // (4 * tile))))
-    sized = cells.withColumn("t", F.lit(max(1, -(-n // tile)))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("t")).cast("int"))
-    # A cell is as many tiles as its rows need at most; tiles meet in pairs.
-    spread = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-    placed = spread.select("cell", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).alias("side"), "home", "id", "v")
+    cells, parted, tiles = None, False, F.lit(max(1, -(-n // tile)))
+    # Cells can't part points if their reach spans the sphere's diameter.
+    if (pivots := min(256, n // (4 * tile))) > 1 and 2 * radius < 2:
+        near = cut(_cells(points, radius, pivots))
+        sizes = {r["cell"]: r["n"] for r in near.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+        if sum(k * k for k in sizes.values()) < n * n / 2:
+            cells, parted = near, True
+            tiles = F.element_at(F.create_map(*(F.lit(x) for c, k in sizes.items() for x in (c, -(-k // tile)))), F.col("cell"))
+        else:
+            drop(near)
+    if cells is None:
+        cells = points.select(F.lit(0).alias("cell"), F.lit(True).alias("home"), "id", F.col("embedding").cast("array<double>").alias("v"))
+    placed = tiled(cells, tiles).select("cell", "a", "b", "side", "home", "id", "v")
 
     def run(key, table):
         side, home = table["side"].to_numpy(), table["home"].to_numpy()
         ids, x = table["id"].to_numpy(), matrix(table["v"])
-        left, right = (np.arange(len(ids)),) * 2 if key[1].as_py() == key[2].as_py() else (np.flatnonzero(~side), np.flatnonzero(side))
+        left, right = sides(key, side)
+        one = key[1].as_py() == key[2].as_py()
         out = []
         for s in range(0, len(left), 512):
             l_ = left[s : s + 512]
-            sim = x[l_] @ x[right].T
-            i, j = np.nonzero(1 - sim <= distance + 1e-12)
-            keep = (ids[l_[i]] != ids[right[j]]) & (home[l_[i]] | home[right[j]])
-            if key[1].as_py() == key[2].as_py():
-                keep &= ids[l_[i]] < ids[right[j]]
+            i, j = np.nonzero(1 - x[l_] @ x[right].T <= distance + 1e-12)
+            i, j = l_[i], right[j]
+            keep = (ids[i] != ids[j]) & (home[i] | home[j])
+            if one:
+                keep &= ids[i] < ids[j]
             i, j = i[keep], j[keep]
-            out.append((ids[l_[i]], ids[right[j]]))
-        a, b = (np.concatenate(c) if out else np.zeros(0, np.int64) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
-        at = {v: k for k, v in enumerate(ids.tolist())}
-        # The sum in index order, as SQL has it: the block product's may differ in the last bit.
-        exact = np.array([sum_in_order(x[at[p]], x[at[q]]) for p, q in zip(a.tolist(), b.tolist(), strict=True)], np.float64)
-        keep = 1 - exact <= distance
-        return pa.table({"i": np.minimum(a, b)[keep], "j": np.maximum(a, b)[keep], "similarity": exact[keep]})
+            # The sum in index order, as SQL has it: the block product's may differ in the last bit.
+            exact = np.concatenate([in_order(x[i[k : k + 4096]], x[j[k : k + 4096]]) for k in range(0, len(i), 4096)]) if len(i) else np.zeros(0)
+            keep = 1 - exact <= distance
+            out.append((np.minimum(ids[i], ids[j])[keep], np.maximum(ids[i], ids[j])[keep], exact[keep]))
+        a, b, exact = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"i": a.astype(np.int64), "j": b.astype(np.int64), "similarity": exact})
 
     found = placed.groupBy("cell", "a", "b").applyInArrow(run, schema)
-    return found.groupBy("i", "j").agg(F.first("similarity").alias("similarity"))
+    # Without cells each pair meets once.
+    return found.groupBy("i", "j").agg(F.first("similarity").alias("similarity")) if parted else found
 
 
-def sum_in_order(a: np.ndarray, b: np.ndarray) -> float:
-    return float(np.cumsum(a * b)[-1]) if len(a) else 0.0
+def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows, summed in index order."""
+    return np.cumsum(a * b, axis=1)[:, -1] if a.shape[1] else np.zeros(len(a))
 
 
-def kth_distance(points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+def kth_distance(points: DataFrame, k: int, tile: int = BLOCK) -> DataFrame:
     """(id, core): the Euclidean distance to the k-th nearest point, the point itself counted first."""
-    rows = points.select("id", F.col("embedding").cast("array<double>").alias("v"))
-    parts, after = [], None
-    while True:
-        own = (rows if after is None else rows.filter(F.col("id") > F.lit(after))).orderBy("id").limit(block).collect()
-        if not own:
-            break
-        after = own[-1]["id"]
-        m, names = np.array([r["v"] for r in own], np.float64), np.array([r["id"] for r in own])
-
-        def run(batches: Iterator[pa.RecordBatch], m=m, names=names) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    s = matrix(b.column(1)) @ m.T
-                    s[b.column(0).to_numpy()[:, None] == names[None]] = 1.0
-                    top = min(k, s.shape[1])
-                    best = -np.sort(np.partition(-s, top - 1, axis=1)[:, :top], axis=1)
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(best), pa.list_(pa.float64()))], ["id", "best"])
+    n = points.count()
+    rows = points.select(F.lit(0).alias("cell"), "id", F.col("embedding").cast("array<double>").alias("v"))
 
-        parts.append(rows.mapInArrow(run, "id long, best array<double>"))
-        if len(own) < block:
-            break
-    if not parts:
-        return points.sparkSession.createDataFrame([], "id long, core double")
-    merged = reduce(DataFrame.union, parts).groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("best")), asc=False).alias("best"))
+    def run(key, table):
+        ids, x = table["id"].to_numpy(), matrix(table["v"])
+        left, right = sides(key, table["side"].to_numpy())
+        names, best = [], []
+        for mine, others in ((left, right),) if left is right else ((left, right), (right, left)):
+            for s in range(0, len(mine), 512):
+                own = mine[s : s + 512]
+                if not len(others):
+                    continue
+                d = x[own] @ x[others].T
+                d[ids[own][:, None] == ids[others][None]] = 1.0
+                top = min(k, len(others))
+                names.append(ids[own])
+                best += list(-np.sort(np.partition(-d, top - 1, axis=1)[:, :top], axis=1))
+        return pa.table({"id": np.concatenate(names) if names else np.zeros(0, np.int64), "best": pa.array(best, pa.list_(pa.float64()))})
+
+    found = tiled(rows, F.lit(max(1, -(-n // tile)))).groupBy("cell", "a", "b").applyInArrow(run, "id long, best array<double>")
+    merged = found.groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("best")), asc=False).alias("best"))
     return merged.select("id", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.get("best", F.lit(k - 1)))).alias("core"))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-NOISE = "_noise"
+# The folder of noise and the file names of crops.
+NOISE, CROP = "_noise", "%04d_q%.2f_f%d.jpg"
 BUCKETS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
 
 
@@ -19,13 +20,18 @@ def person_counts(faces: DataFrame) -> DataFrame:
 
 
 def persons(prototypes: DataFrame, faces: DataFrame) -> DataFrame:
-    """person_id, label, count and stored faces of every prototype, 0 where none is stored."""
-    return prototypes.join(person_counts(faces), "person_id", "left").select("person_id", "label", "count", F.coalesce("faces", F.lit(0).cast("long")).alias("faces"))
+    """person_id, label, count, stored faces (0 where there is none) and times of every prototype."""
+    return prototypes.join(person_counts(faces), "person_id", "left").select("person_id", "label", "count", F.coalesce("faces", F.lit(0).cast("long")).alias("faces"), "created_at", "updated_at")
 
 
-def run_summary(faces: DataFrame) -> DataFrame:
+def person_faces(faces: DataFrame, person_id: str) -> DataFrame:
+    """One row: how many faces of a person are stored."""
+    return faces.filter(F.col("person_id") == person_id).agg(F.count("*").alias("faces"))
+
+
+def run_summary(faces: DataFrame, digits: int = 3) -> DataFrame:
     """A row a person or noise: faces, sorted distinct sources, mean quality."""
-    return faces.groupBy(F.coalesce("person_id", F.lit(NOISE)).alias("person")).agg(F.count("*").alias("faces"), F.sort_array(F.collect_set("source")).alias("sources"), F.bround(F.avg("quality"), 3).alias("mean_quality"))
+    return faces.groupBy(F.coalesce("person_id", F.lit(NOISE)).alias("person")).agg(F.count("*").alias("faces"), F.sort_array(F.collect_set("source")).alias("sources"), F.bround(F.avg("quality"), digits).alias("mean_quality"))
 
 
 def run_totals(faces: DataFrame) -> DataFrame:
@@ -37,7 +43,7 @@ def crops(faces: DataFrame, most: int = 40) -> DataFrame:
     person = F.coalesce("person_id", F.lit(NOISE))
     n = F.row_number().over(Window.partitionBy("person").orderBy("id"))
     ranked = faces.filter("has_crop").withColumn("person", person).withColumn("n", n - 1).filter(F.col("n") < most)
-    return ranked.select("id", "person", F.col("n").cast("int").alias("n"), F.format_string("%04d_q%.2f_f%d.jpg", "n", "quality", "frame_idx").alias("file"))
+    return ranked.select("id", "person", F.col("n").cast("int").alias("n"), F.format_string(CROP, "n", "quality", "frame_idx").alias("file"))
 
 
 def montage(shown: DataFrame, columns: int = 8, rows: int = 4, tile: int = 112) -> DataFrame:

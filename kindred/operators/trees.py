@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 
 
@@ -32,8 +30,12 @@ def spanning_tree(x: np.ndarray, k: int) -> list[tuple[float, int, int]]:
 
 
 def density_labels(x: np.ndarray, min_cluster_size: int, min_samples: int) -> np.ndarray:
-    """Labels from 0 and -1 for noise, by excess of mass over the condensed tree; the root is never a cluster."""
-    n = len(x)
+    """Labels from 0 and -1 for noise of unit vectors."""
+    return condensed_labels(len(x), spanning_tree(x, max(1, min_samples)) if len(x) >= max(2, min_cluster_size) else [], min_cluster_size)
+
+
+def condensed_labels(n: int, tree: list[tuple[float, int, int]], min_cluster_size: int) -> np.ndarray:
+    """Labels from the ascending edges of a spanning tree, by excess of mass over the condensed tree; the root is never a cluster."""
     labels = np.full(n, -1)
     size = max(2, min_cluster_size)
     if n < size:
@@ -48,7 +50,7 @@ def density_labels(x: np.ndarray, min_cluster_size: int, min_samples: int) -> np
         return a
 
     kids, weight, height = {}, [1] * n, {}
-    for k, (d, a, b) in enumerate(spanning_tree(x, max(1, min_samples))):
+    for k, (d, a, b) in enumerate(tree):
         a, b, node = root(a), root(b), n + k
         parent[a] = parent[b] = node
         kids[node], height[node] = (a, b), d
@@ -113,28 +115,43 @@ def density_labels(x: np.ndarray, min_cluster_size: int, min_samples: int) -> np
 
 
 def average_labels(x: np.ndarray, threshold: float) -> np.ndarray:
-    """Labels by average linkage of cosine distances: the nearest two clusters join while they are nearer than ``threshold``."""
+    """Labels by average linkage of cosine distances: the nearest two clusters join while they are nearer than ``threshold``.
+
+    The average over pairs of unit vectors needs only each cluster's sum and size, so no distances are kept. Joining two
+    clusters brings neither nearer to a third than the nearer one was, so clusters that are each other's nearest may join
+    in any order: a chain of nearest clusters is followed until it turns back, and a cluster without one near enough is done."""
     n = len(x)
-    d = 1 - x @ x.T
-    np.fill_diagonal(d, np.inf)
-    size, alive, owner = np.ones(n), np.ones(n, bool), np.arange(n)
-    version = np.zeros(n, np.int64)
-    heap = [(float(d[i, j]), i, j, 0, 0) for i, j in zip(*np.nonzero(np.triu(d < threshold, 1)), strict=True)]
-    heapq.heapify(heap)
-    while heap:
-        _, i, j, vi, vj = heapq.heappop(heap)
-        if not (alive[i] and alive[j]) or version[i] != vi or version[j] != vj:
+    total, size, owner = x.copy(), np.ones(n), np.arange(n)
+    alive = np.ones(n, bool)
+    todo, chain = list(range(n - 1, -1, -1)), []
+    while todo or chain:
+        if not chain:
+            if not alive[k := todo.pop()]:
+                continue
+            chain.append(k)
+        k = chain[-1]
+        rest = np.flatnonzero(alive)
+        d = 1 - (total[rest] @ total[k]) / (size[rest] * size[k])
+        d[np.searchsorted(rest, k)] = np.inf
+        near = int(d.argmin())
+        if len(chain) > 1 and d[np.searchsorted(rest, chain[-2])] <= d[near]:
+            near = int(np.searchsorted(rest, chain[-2]))  # of equal ones that which led here
+        if not d[near] < threshold:
+            alive[k] = False
+            chain.pop()
             continue
-        row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        alive[j] = False
-        d[i], d[:, i] = row, row
-        d[i, i] = np.inf
-        size[i] += size[j]
-        owner[owner == j] = i
-        version[i] += 1
-        for k in np.flatnonzero(alive & (row < threshold)):
-            if k != i:
-                a, b = min(i, int(k)), max(i, int(k))
-                heapq.heappush(heap, (float(row[k]), a, b, int(version[a]), int(version[b])))
+        other = int(rest[near])
+        if len(chain) > 1 and other == chain[-2]:
+            del chain[-2:]
+            total[other] += total[k]
+            size[other] += size[k]
+            alive[k] = False
+            owner[k] = other
+            todo.append(other)
+        else:
+            chain.append(other)
+    for k in range(n):
+        while owner[k] != owner[owner[k]]:
+            owner[k] = owner[owner[k]]
     first: dict[int, int] = {}
     return np.array([first.setdefault(o, len(first)) for o in owner.tolist()])

@@ -76,19 +76,25 @@ class Supervisor:
                 self.sleep(self.cfg.retry_seconds)
                 return "capture_failed"
             return "capture"
-        kept = self.state.load()
-        if self.cfg.analysis_enabled and due(now, kept.get("last_analysis"), self.cfg):
-            try:
-                summary = self.analyze()
-            except Exception as e:  # never ends the loop
-                self.state.save(kept | {"last_analysis_error": str(e)})
+        if self.cfg.analysis_enabled and due(now, self.state.load().get("last_analysis"), self.cfg):
+            if "last_analysis_error" in self.analyze_now(now):
                 self.sleep(self.cfg.retry_seconds)
                 return "analysis_failed"
-            self.state.save({"last_analysis": now.timestamp(), "last_analysis_summary": summary, "last_analysis_error": None})
             return "analysis"
         self.sleep(max(1.0, min((next_transition(now, self.cfg) - now).total_seconds(), 60.0)))
         return "wait"
 
+    def analyze_now(self, now: datetime | None = None) -> dict:
+        """The analysis, due or not; its summary, or its error, which is recorded and never raised."""
+        now, kept = now or self.clock(), self.state.load()
+        try:
+            summary = self.analyze()
+        except Exception as e:
+            self.state.save(kept | {"last_analysis_error": str(e)})
+            return {"last_analysis_error": str(e)}
+        self.state.save({"last_analysis": now.timestamp(), "last_analysis_summary": summary, "last_analysis_error": None})
+        return {"last_analysis_summary": summary}
+
     def run(self, cycles: int = 0) -> list[str]:
         out: list[str] = []
         while not cycles or len(out) < cycles:

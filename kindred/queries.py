@@ -15,7 +15,8 @@ from kindred.functions import clock
 from kindred.functions import vectors as V
 from kindred.operators import acquisition, clustering, identity, neighbors, quality, reports, tracking
 from kindred.operators import classifier as supervised
-from kindred.sources.store import update_assignments
+from kindred.sources import images
+from kindred.sources.store import labelled, update_assignments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -106,9 +107,23 @@ def strided_frames(spark, sf_dir):
     return acquisition.strided(frames(spark, sf_dir), 3).select("id")
 
 
-@query("SELECT vec_id id, label FROM embeddings WHERE label IS NOT NULL")
+@query(f"WITH {_FACES} SELECT id, person_id FROM f WHERE person_id IS NOT NULL")
 def labelled_faces(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").filter("label IS NOT NULL").select(F.col("vec_id").alias("id"), "label")
+    return labelled(faces(spark, sf_dir)).select("id", "person_id")
+
+
+@query("WITH n AS (SELECT event_id id, CASE event_id % 3 WHEN 0 THEN (event_id % 1000)::VARCHAR WHEN 1 THEN 'rtsp://cam' || event_id ELSE (event_id % 10)::VARCHAR || 'x' END s FROM events) SELECT id, CASE WHEN regexp_full_match(s, '[0-9]+') THEN s::INT END device, CASE WHEN NOT regexp_full_match(s, '[0-9]+') THEN s END address FROM n")
+def cameras(spark, sf_dir):
+    n = F.col("id")
+    name = F.when(n % 3 == 0, (n % 1000).cast("string")).when(n % 3 == 1, F.concat(F.lit("rtsp://cam"), n.cast("string"))).otherwise(F.concat((n % 10).cast("string"), F.lit("x")))
+    return frames(spark, sf_dir).select("id", images.cameras(name).alias("c")).select("id", "c.device", "c.address")
+
+
+@query("SELECT event_id id, CASE WHEN event_id % 30 < 24 AND event_id % 70 < 60 AND event_id % 7 <> 0 THEN (event_id % 30 * 60 + event_id % 70)::INT END AS minutes FROM events")
+def parsed_times(spark, sf_dir):
+    n = F.col("id")
+    text = F.when(n % 7 == 0, F.lit("noon")).otherwise(F.format_string("%02d:%02d", n % 30, n % 70))
+    return frames(spark, sf_dir).select("id", clock.hhmm(text).alias("minutes"))
 
 
 def _detections(spark, sf_dir):
@@ -296,13 +311,12 @@ def person_counts(spark, sf_dir):
 
 @query(f"WITH {_FACES} SELECT count(*) faces FROM f WHERE person_id = 'person_0003'")
 def person_faces(spark, sf_dir):
-    return faces(spark, sf_dir).filter("person_id = 'person_0003'").agg(F.count("*").alias("faces"))
+    return reports.person_faces(faces(spark, sf_dir), "person_0003")
 
 
 @query(f"WITH {_FACES} SELECT coalesce(person_id,'_noise') person, count(*) faces, array_to_string(list_sort(list(DISTINCT source)), ',') sources, round(avg(quality),6) mean_quality FROM f GROUP BY 1")
 def run_summary(spark, sf_dir):
-    f = faces(spark, sf_dir)
-    return reports.run_summary(f).drop("mean_quality").join(f.groupBy(F.coalesce("person_id", F.lit("_noise")).alias("person")).agg(F.round(F.avg("quality"), 6).alias("mean_quality")), "person").withColumn("sources", F.array_join("sources", ","))
+    return reports.run_summary(faces(spark, sf_dir), 6).withColumn("sources", F.array_join("sources", ","))
 
 
 @query(f"WITH {_FACES} SELECT count(*) total_faces, count(DISTINCT person_id) identities, count(*) FILTER (person_id IS NULL) noise_faces FROM f")
@@ -312,7 +326,7 @@ def run_totals(spark, sf_dir):
 
 @query(f"WITH {_FACES}, p AS (SELECT DISTINCT printf('person_%04d', label) person_id, count(*) OVER (PARTITION BY label) n FROM embeddings), c AS (SELECT person_id, count(*) k FROM f GROUP BY 1) SELECT p.person_id, NULL::VARCHAR AS label, n AS count, coalesce(k,0) faces FROM p LEFT JOIN c USING (person_id)")
 def persons(spark, sf_dir):
-    return reports.persons(label_prototypes(spark, sf_dir), faces(spark, sf_dir))
+    return reports.persons(label_prototypes(spark, sf_dir), faces(spark, sf_dir)).drop("created_at", "updated_at")
 
 
 @query(f"WITH {_FACES}, r AS (SELECT id, coalesce(person_id,'_noise') person, (row_number() OVER (PARTITION BY coalesce(person_id,'_noise') ORDER BY id) - 1)::INT n FROM f WHERE has_crop) SELECT id, person, n FROM r WHERE n < 12")
@@ -362,12 +376,22 @@ def persons_of_clusters(spark, sf_dir):
     return identity.cluster_persons(_half_noise(spark, sf_dir)).select("id", "person_id")
 
 
-@query()
+_UNIT = "list_transform({0}, lambda x: x / (sqrt(list_inner_product({0}, {0})) + 1e-8))"
+
+
+@query(f"""WITH RECURSIVE {_E}, {_CENTERS.format(where='label < 5')},
+t AS (SELECT 'cluster' kind, cen.label::BIGINT key, cen.v FROM cen UNION ALL SELECT 'noise', id, v FROM e WHERE label >= 5),
+z AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY kind, key) n FROM t),
+r AS (SELECT 0::BIGINT n, 10 next, NULL::VARCHAR kind, NULL::BIGINT key, NULL::VARCHAR person_id, NULL::DOUBLE score, (SELECT list(v ORDER BY label) FROM cen WHERE label < 3) p, (SELECT list(printf('person_%04d', label) ORDER BY label) FROM cen WHERE label < 3) w
+UNION ALL SELECT n, CASE WHEN hit OR kind = 'noise' THEN next ELSE next + 1 END, kind, key, CASE WHEN hit THEN w[pos] WHEN kind = 'cluster' THEN printf('person_%04d', next) END, best,
+CASE WHEN hit THEN list_transform(p, lambda q, i: CASE WHEN i = pos THEN {_UNIT.format('moved')} ELSE q END) WHEN kind = 'cluster' THEN list_append(p, {_UNIT.format('v')}) ELSE p END, CASE WHEN NOT hit AND kind = 'cluster' THEN list_append(w, printf('person_%04d', next)) ELSE w END
+FROM (SELECT *, list_transform(list_zip(p[pos], v), lambda y: 0.9 * y[1] + 0.1 * y[2]) moved FROM (SELECT *, list_position(sims, best)::INT AS pos, best >= 0.3 hit FROM (SELECT *, list_max(sims) best FROM (SELECT z.n, z.kind, z.key, z.v, r.next, r.p, r.w, list_transform(r.p, lambda q: list_inner_product(q, z.v)) sims FROM r JOIN z ON z.n = r.n + 1)))))
+SELECT kind, key, person_id, round(score, 6) score FROM r WHERE n > 0""")
 def absorbed(spark, sf_dir):
     p = _half_noise(spark, sf_dir)
     known = label_prototypes(spark, sf_dir, "cluster_id < 3")
     out = identity.absorb(clustering.centroids(p), p.filter("cluster_id = -1"), known, Prototypes(match_threshold=0.3), 10, 0.0)
-    return out.filter("kind <> 'prototype'").select("kind", "key", "person_id", F.round("score", 6).alias("score"))
+    return out.filter("kind IN ('cluster', 'noise')").select("kind", "key", "person_id", F.round("score", 6).alias("score"))
 
 
 @query("""WITH RECURSIVE s AS MATERIALIZED (SELECT user_id, event_id, epoch(ts) t, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts), event_id) rn FROM events),
@@ -383,13 +407,13 @@ g AS (SELECT user_id, event_id, rn, CASE WHEN value < 20 THEN NULL ELSE t END la
 UNION ALL SELECT user_id, event_id, rn, CASE WHEN d = 'kept' THEN t ELSE last END, CASE WHEN d = 'kept' THEN k ELSE sig END, d FROM (SELECT s.user_id, s.event_id, s.rn, s.t, s.k, g.last, g.sig, CASE WHEN g.last IS NOT NULL AND s.t - g.last < 36000 THEN 'interval' WHEN s.value < 20 THEN 'blurry' WHEN g.sig IS NOT NULL AND abs(s.k - g.sig) <= 12 THEN 'unchanged' ELSE 'kept' END d FROM g JOIN s ON s.user_id = g.user_id AND s.rn = g.rn + 1))"""
 
 
-def _gated(spark, sf_dir):
+def _gated(spark, sf_dir, **limits):
     f = frames(spark, sf_dir).withColumn("stream_time", F.col("ts").cast("double"))
     from pyspark.sql.window import Window
 
     n = F.row_number().over(Window.partitionBy("session").orderBy("stream_time", "id")).cast("long")
-    rows = f.withColumn("frame_idx", n).select("session", "frame_idx", "stream_time", "sharpness", F.array("k").alias("signature"), F.lit(True).alias("has_face"))
-    return acquisition.decided(rows, Acquisition(interval_seconds=36000, min_blur_variance=20, min_change_fraction=0.5))
+    rows = f.withColumn("frame_idx", n).select("session", "frame_idx", "stream_time", "sharpness", F.array("k").alias("signature"), (F.col("k") % 2 == 0).alias("has_face"))
+    return acquisition.decided(rows, Acquisition(interval_seconds=36000, min_blur_variance=20, min_change_fraction=0.5, **limits))
 
 
 @query(_GATE + " SELECT user_id::VARCHAR AS session, rn AS frame_idx, decision FROM g")
@@ -397,6 +421,35 @@ def gated_frames(spark, sf_dir):
     return _gated(spark, sf_dir).select("session", "frame_idx", "decision")
 
 
+@query(_GATE + " SELECT session, frame_idx, CASE WHEN before < 5 THEN decision END decision FROM (SELECT user_id::VARCHAR AS session, rn AS frame_idx, decision, coalesce(sum((decision = 'kept')::INT) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) before FROM g) WHERE before < 5")
+def stopped_by_count(spark, sf_dir):
+    return _gated(spark, sf_dir, max_frames=5).select("session", "frame_idx", "decision")
+
+
+@query(_GATE + ", f AS (SELECT *, min(rn) FILTER (t0 >= (SELECT median(t) FROM s)) OVER (PARTITION BY user_id) stop FROM (SELECT g.*, s.t t0 FROM g JOIN s USING (user_id, rn))) SELECT user_id::VARCHAR AS session, rn AS frame_idx, CASE WHEN rn = stop THEN 'stop' ELSE decision END decision FROM f WHERE stop IS NULL OR rn <= stop")
+def stopped_by_time(spark, sf_dir):
+    middle = frames(spark, sf_dir).agg(F.median(F.col("ts").cast("double"))).first()[0]
+    return _gated(spark, sf_dir, max_duration_seconds=middle).select("session", "frame_idx", "decision")
+
+
+@query(_GATE.replace("value < 20 THEN NULL", "value < 20 OR k % 2 = 1 THEN NULL").replace("CASE WHEN value < 20 THEN 'blurry' ELSE", "CASE WHEN value < 20 THEN 'blurry' WHEN k % 2 = 1 THEN 'no_face' ELSE").replace("<= 12 THEN 'unchanged' ELSE", "<= 12 THEN 'unchanged' WHEN s.k % 2 = 1 THEN 'no_face' ELSE") + " SELECT user_id::VARCHAR AS session, rn AS frame_idx, decision FROM g")
+def face_gated_frames(spark, sf_dir):
+    return _gated(spark, sf_dir, face_gate=True).select("session", "frame_idx", "decision")
+
+
+@query("SELECT event_id id FROM events WHERE event_id % 4 IN (0, 1)")
+def frames_with_faces(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    found = f.filter("id % 4 < 2").select("session", "frame_idx").union(f.filter("id % 8 = 0").select("session", "frame_idx"))
+    return acquisition.with_faces(f, found).select("id")
+
+
+@query(f"WITH {_FACES}, c AS (SELECT person_id, count(*) n FROM f WHERE person_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 20) SELECT false AS trained, coalesce(sum(n), 0)::BIGINT n_samples, count(*) n_persons, 'need >= 100 persons with >= 20 samples, have ' || count(*) reason FROM c")
+def training_report(spark, sf_dir):
+    _, r = supervised.fit(faces(spark, sf_dir), Classifier(min_samples_per_person=20, min_persons=100))
+    return spark.createDataFrame([(r.trained, r.n_samples, r.n_persons, r.reason)], "trained boolean, n_samples long, n_persons long, reason string")
+
+
 @query(_GATE + " SELECT user_id::VARCHAR AS session, count(*) frames_seen, count(*) FILTER (decision='kept') frames_saved, count(*) FILTER (decision='interval') skipped_interval, count(*) FILTER (decision='blurry') skipped_blurry, count(*) FILTER (decision='unchanged') skipped_unchanged, 0::BIGINT skipped_no_face FROM g GROUP BY 1")
 def gate_counters(spark, sf_dir):
     return acquisition.counters(_gated(spark, sf_dir))

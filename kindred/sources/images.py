@@ -9,9 +9,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from kindred.tables import numbered
 
 IMAGES = ("jpg", "jpeg", "png", "bmp", "webp")
 VIDEOS = ("mp4", "avi", "mkv", "mov", "m4v", "webm", "ts")
@@ -23,10 +24,11 @@ def listed(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = IMAGES)
     order of paths. Raises FileNotFoundError where there is none. Contents are read only where they are used."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "content")
     own = files.filter(F.lower("path").rlike(r"\.(" + "|".join(suffixes) + ")$"))
-    # Paths alone are numbered; contents are joined to them and don't pass through the one ordered task.
-    order = own.select("path").withColumn("frame_idx", (F.row_number().over(Window.orderBy("path")) - 1).cast("int"))
-    if order.isEmpty():
+    # Paths alone are numbered; contents are joined to them.
+    paths = own.select("path")
+    if paths.isEmpty():
         raise FileNotFoundError(f"no {'/'.join(suffixes)} files in {folder}")
+    order = numbered(paths, "frame_idx", "path").withColumn("frame_idx", F.col("frame_idx").cast("int"))
     return own.join(order, "path").select("path", "frame_idx", "content")
 
 
@@ -86,22 +88,23 @@ def measured(files: DataFrame, decode: Decoder = raw_decoder) -> DataFrame:
     return files.select("path", "frame_idx", "content").mapInPandas(run, "path string, frame_idx int, ok boolean, sharpness double, signature array<double>")
 
 
-def detections(files: DataFrame, embed: Embedder, decode: Decoder = raw_decoder) -> DataFrame:
-    """The detections on listed files: what ``embed`` finds on each. Pixels stay in the batch."""
+def detections(files: DataFrame, embed: Embedder, decode: Decoder = raw_decoder, encode: Callable[[np.ndarray], bytes] | None = None) -> DataFrame:
+    """The detections on listed files: what ``embed`` finds on each, ``place`` counting them within a file. Pixels stay in
+    the batch; where ``encode`` is given, each detection keeps its crop, encoded."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for path, k, content in f[["path", "frame_idx", "content"]].itertuples(index=False):
                 image = decode(content)
-                for d in embed(image, path, int(k)) if image is not None else []:
+                for place, d in enumerate(embed(image, path, int(k)) if image is not None else []):
                     x1, y1, x2, y2 = d["bbox"]
                     box = image[max(0, int(y1)) : max(0, int(y2)), max(0, int(x1)) : max(0, int(x2))]
                     marks = d.get("landmarks")
-                    rows.append((path, int(k), float(d["det_score"]), dict(x1=float(x1), y1=float(y1), x2=float(x2), y2=float(y2)), None if marks is None else [dict(x=float(a), y=float(b)) for a, b in marks], np.asarray(d["embedding"], np.float32).tolist(), sharpness(box) if box.size else None))
-            yield pd.DataFrame(rows, columns=["source", "frame_idx", "det_score", "bbox", "landmarks", "embedding", "blur_var"], dtype=object)
+                    rows.append((path, int(k), float(d["det_score"]), dict(x1=float(x1), y1=float(y1), x2=float(x2), y2=float(y2)), None if marks is None else [dict(x=float(a), y=float(b)) for a, b in marks], np.asarray(d["embedding"], np.float32).tolist(), sharpness(box) if box.size else None, place, encode(box) if encode and box.size else None))
+            yield pd.DataFrame(rows, columns=["source", "frame_idx", "det_score", "bbox", "landmarks", "embedding", "blur_var", "place", "crop"], dtype=object)
 
-    return files.select("path", "frame_idx", "content").mapInPandas(run, DETECTION)
+    return files.select("path", "frame_idx", "content").mapInPandas(run, f"{DETECTION}, place int, crop binary")
 
 
 def upload_status(uploads: DataFrame, decode: Decoder = raw_decoder) -> DataFrame:
@@ -117,3 +120,9 @@ def upload_status(uploads: DataFrame, decode: Decoder = raw_decoder) -> DataFram
 def camera(name: str) -> int | str:
     """A number is a device, anything else an address."""
     return int(name) if name.isdigit() else name
+
+
+def cameras(name: Column) -> Column:
+    """The same for a column: struct(device int, address string), one of them null."""
+    number = name.rlike("^[0-9]+$")
+    return F.struct(F.when(number, name.cast("int")).alias("device"), F.when(~number, name).alias("address"))

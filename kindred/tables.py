@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that Spark sends to a Python worker at a time while a table is written.
 BATCH_BYTES = 8 << 20
@@ -48,6 +49,20 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame, name: str, *order: str | Column, first: int = 0) -> DataFrame:
+    """``df`` as a table with a column ``name`` that numbers its rows from ``first`` in an order, without gaps. Rows are sorted
+    over all tasks; only the number of rows of each partition, a row a partition, is counted ahead."""
+    rows = cut(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_at", 33)
+    sizes = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    starts, at = {}, first
+    for p, n in sizes:
+        starts[p], at = at, at + n
+    before = df.sparkSession.createDataFrame(list(starts.items()), "_p long, _before long")
+    out = rows.join(F.broadcast(before), part == F.col("_p")).withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    return out.drop("_at", "_p", "_before")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

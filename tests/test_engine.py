@@ -10,7 +10,7 @@ from kindred import config
 from kindred.config import Acquisition, Classifier, Clustering, Config, Prototypes, Quality, Schedule, Tracker
 from kindred.functions import clock
 from kindred.functions import vectors as V
-from kindred.operators import acquisition, classifier, clustering, identity, quality, tracking, trees
+from kindred.operators import acquisition, classifier, clustering, graphs, identity, neighbors, quality, tracking, trees
 from kindred.plans import schedule
 from kindred.plans.jobs import Engine
 from kindred.sources import images, manifests
@@ -229,7 +229,7 @@ def test_images_end_to_end(spark, tmp_path, identities):
 
     cfg = Config(quality=Quality(enabled=False), clustering=Clustering(algorithm="dbscan", min_cluster_size=3))
     cfg.output.db_path, cfg.prototypes.path = str(tmp_path / "faces"), str(tmp_path / "prototypes")
-    cfg.api.embedding_dim = 512
+    cfg.output.dir, cfg.api.embedding_dim = str(tmp_path / "out"), 512
     e = Engine(spark, cfg)
     first = e.images(str(tmp_path / "in"), embed)
     assert first["total_faces"] == 11 and first["identities"] == 3 and first["noise_faces"] == 0
@@ -245,11 +245,159 @@ def test_images_end_to_end(spark, tmp_path, identities):
     assert e.persons_table().filter("label = 'Ada'").count() == 1
     e.delete("person_0002")
     assert e.prototypes.read().count() == 2 and e.prototypes.next_number() == 3
-    assert e.clusters().count() == 3 and e.metrics().count() == 4
+    assert e.clusters().count() == 3 and e.metrics().filter("metric = 'faces_detected_total' AND value = 22").count() == 1
     with pytest.raises(FileNotFoundError):
         images.listed(spark, str(tmp_path / "faces"))
 
 
+def small_engine(spark, tmp_path, **more):
+    cfg = Config(quality=Quality(enabled=False), clustering=Clustering(algorithm="dbscan", min_cluster_size=4), **more)
+    cfg.output.db_path, cfg.prototypes.path, cfg.output.dir = str(tmp_path / "faces"), str(tmp_path / "prototypes"), str(tmp_path / "out")
+    return Engine(spark, cfg)
+
+
+def test_numbers_go_on_beyond_9999(spark, tmp_path, identities):
+    x, truth = identities
+    e = small_engine(spark, tmp_path)
+    e.prototypes.write(identity.none(spark), next_number=9999)
+    e.clustered(rows_of(spark, x, truth).select("id", "embedding", F.lit("s").alias("source"), F.col("id").cast("int").alias("frame_idx")), now=1.0)
+    names = lambda: sorted(r["person_id"] for r in e.prototypes.read().collect())
+    assert names() == ["person_10000", "person_10001", "person_9999"] and e.prototypes.next_number() == 10002
+    other = [[float(v) for v in np.roll(r, 7)] for r in x[:12]]
+    e.clustered(spark.createDataFrame([(k, v, "t", k) for k, v in enumerate(other)], "id long, embedding array<double>, source string, frame_idx int"), now=2.0)
+    assert names() == ["person_10000", "person_10001", "person_10002", "person_9999"]
+
+
+def test_classifier_hits_move_prototypes_in_order(spark, identities):
+    x, _ = identities
+    known = identity.appended(identity.none(spark), spark.createDataFrame([(0, [float(v) for v in x[0]], 1), (1, [float(v) for v in x[12]], 1)], "ord int, vector array<double>, count long"), 0, 0.0)
+    nothing = spark.createDataFrame([], "cluster_id int, vector array<double>, n long")
+    said = spark.createDataFrame([(1, [float(v) for v in x[36]], "person_0001", 0.9), (2, [float(v) for v in x[37]], "person_0077", 0.9), (3, [float(v) for v in x[1]], None, 0.1)], "id long, embedding array<double>, said string, confidence double")
+    folded = identity.absorb(nothing, said, known, config.Prototypes(match_threshold=0.6), 2, 1.0)
+    got = {r["key"]: (r["person_id"], r["score"]) for r in folded.filter("kind = 'noise'").collect()}
+    assert got[1] == ("person_0001", 0.9) and got[2][0] is None and got[3][0] == "person_0000"
+    after = {r["person_id"]: (r["count"], r["updated_at"]) for r in identity.prototypes_of(folded).collect()}
+    assert after == {"person_0000": (2, 1.0), "person_0001": (2, 1.0)} and identity.next_of(folded) == 2
+    match_all = identity.absorb(nothing, said.select("id", "embedding"), known, config.Prototypes(match_threshold=0.6), 2, 1.0, match_all=True)
+    assert [r["person_id"] for r in match_all.filter("kind = 'noise'").orderBy("key").collect()] == ["person_0002", "person_0003", "person_0000"]
+
+
+def test_service(spark, tmp_path, identities):
+    import json
+
+    from kindred.plans.service import Service
+
+    x, truth = identities
+    e = small_engine(spark, tmp_path)
+    e.clustered(rows_of(spark, x, truth).select("id", "embedding", F.lit("s").alias("source"), F.col("id").cast("int").alias("frame_idx")), now=1.0)
+
+    def embed(image, path, frame):
+        return [{"bbox": (0, 0, 64, 48), "det_score": 0.9, "embedding": x[0]}] if image[0, 0, 0] == 1 else []
+
+    s = Service(e, embed)
+
+    def ask(method, path, body=None):
+        status, _, out = s.answer(method, path, body if isinstance(body, bytes) else json.dumps(body).encode())
+        return status, json.loads(out)
+
+    vector = [float(v) for v in x[1]]
+    assert ask("GET", "/health")[1]["persons_known"] == 3
+    before = ask("GET", "/persons/person_0000")[1]["embeddings_absorbed"]
+    status, got = ask("POST", "/identify", {"embedding": vector})
+    assert status == 200 and got["person_id"] == "person_0000" and got["source"] == "prototype" and not got["committed"]
+    assert ask("GET", "/persons/person_0000")[1]["embeddings_absorbed"] == before
+    assert ask("POST", "/identify", {"embedding": vector, "commit": True})[1]["committed"] and ask("GET", "/persons/person_0000")[1]["embeddings_absorbed"] == before + 1
+    assert ask("POST", "/identify", {"embedding": [float(v) for v in x[39]], "commit": True})[1] | {"score": 0} == {"person_id": None, "label": None, "score": 0, "source": "unknown", "committed": False}
+    assert [ask("POST", "/identify", b)[0] for b in ({"embedding": [1.0]}, {"embedding": "x"}, {})] == [422] * 3 and s.answer("POST", "/identify", b"{")[0] == 422
+    status, got = ask("POST", "/detect", bmp((1, 2, 3)))
+    assert status == 200 and got["faces"][0]["identity"]["person_id"] == "person_0000" and got["rejected"] == 0
+    assert ask("POST", "/detect", bmp((0, 2, 3)))[1]["faces"] == [] and ask("POST", "/detect", b"")[0] == 422 and Service(e).answer("POST", "/detect", bmp((1, 2, 3)))[0] == 503
+    assert ask("PATCH", "/persons/person_0001", {"label": "Ada"})[1]["label"] == "Ada" and ask("PATCH", "/persons/none", {"label": None})[0] == 404
+    assert ask("POST", "/update-prototype", {"person_id": "person_0001", "embedding": vector})[1]["label"] == "Ada"
+    assert ask("DELETE", "/persons/person_0002")[1] == {"deleted": "person_0002"} and ask("GET", "/persons/person_0002")[0] == 404
+    assert len(ask("GET", "/persons")[1]) == 2 and ask("GET", "/clusters")[1]["total_faces"] == 40 and ask("GET", "/none")[0] == 404
+    text = s.answer("GET", "/metrics")[2].decode()
+    assert 'identifications_total{source="prototype"} 3' in text and "persons_known 2" in text and 'face_quality_bucket{le="+Inf"} 1' in text
+    assert ask("POST", "/retrain-classifier")[1]["trained"]
+
+
+def test_capture(spark, tmp_path):
+    e = small_engine(spark, tmp_path)
+    e.cfg.acquisition = config.Acquisition(dir=str(tmp_path / "data"), interval_seconds=1.0, min_blur_variance=0, min_change_fraction=0.0)
+    frames = spark.createDataFrame([("a", k + 1, 10.0, bmp((k, 0, 0)) if k != 7 else b"broken") for k in range(30)], "session string, frame_idx long, fps double, content binary")
+    assert e.capture(frames, "Anna").first()["frames_saved"] == 3
+    assert sorted(p.name for p in (tmp_path / "data" / "a").glob("*.jpg")) == ["000000.jpg", "000001.jpg", "000002.jpg"]
+    r = manifests.read(spark, str(tmp_path / "data")).first()
+    assert r["label"] == "Anna" and [f["frame_idx"] for f in r["frames"]] == [1, 11, 21] and r["frames_saved"] == 3
+    assert manifests.totals(spark, str(tmp_path / "data")).first().asDict() == {"sessions": 1, "frames_saved": 3, "images": 3}
+
+
+def test_trees_in_rounds_equal_those_of_one_task(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([b + rng.normal(0, 0.25, (30, 16)) for b in rng.normal(size=(4, 16))] + [rng.normal(size=(20, 16))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "id long, embedding array<double>").repartition(3)
+    tree, edges = trees.spanning_tree(x, 3), clustering.spanning_edges(rows, 3, tile=32).collect()
+    assert len(edges) == len(tree) == len(x) - 1 and sum(r["d"] for r in edges) == pytest.approx(sum(d for d, _, _ in tree))
+    one, many = ({r["id"]: r["cluster_id"] for r in clustering.hdbscan(rows, 5, 3, whole=n).collect()} for n in (1000, 10))
+    assert len(set(one.values())) == len(set(many.values())) == len({(one[k], many[k]) for k in one}) > 3
+    near = {(k, j) for k in range(len(x)) for j in range(k + 1, len(x)) if 1 - x[k] @ x[j] <= 0.2}
+    assert near == {(r["i"], r["j"]) for r in neighbors.pairs_within(rows, 0.2, tile=8).collect()} == {(r["i"], r["j"]) for r in neighbors.pairs_within(rows, 0.2).collect()}
+    refs = rows.filter("id < 50").select(F.col("id").alias("ref"), F.col("id").alias("seq"), "embedding").withColumnRenamed("embedding", "vector")
+    assert {(r["id"], r["ref"]) for r in neighbors.nearest(rows, refs, block=7).collect()} == {(r["id"], r["ref"]) for r in neighbors.nearest(rows, refs).collect()} == {(k, int((x[:50] @ x[k]).argmax())) for k in range(len(x))}
+    core = {r["id"]: r["core"] for r in neighbors.kth_distance(rows, 3, tile=16).collect()}
+    assert all(core[k] == pytest.approx(np.sort(np.sqrt(np.maximum(0, 2 - 2 * x @ x[k])))[2], abs=1e-6) for k in core) and len(core) == len(x)
+
+
+def test_components(spark):
+    rng = np.random.default_rng(2)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(5, 5), (400, 400)]
+    df = spark.createDataFrame(links, "a long, b long")
+    parent = {k: k for p in links for k in p}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    for small in (0, 10, 1000):
+        assert {r["x"]: r["c"] for r in graphs.components(df, small).collect()} == {k: root(k) for k in parent}
+
+
+def test_average_linkage_by_definition():
+    rng = np.random.default_rng(3)
+    for n, threshold in ((12, 0.6), (25, 0.5), (30, 0.9)):
+        x = rng.normal(size=(n, 4))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        groups = [[k] for k in range(n)]
+        while len(groups) > 1:
+            d, a, b = min(((1 - (x[g] @ x[h].T)).mean(), i, j) for i, g in enumerate(groups) for j, h in enumerate(groups) if i < j)
+            if d >= threshold:
+                break
+            groups[a] += groups.pop(b)
+        labels = trees.average_labels(x, threshold)
+        assert {frozenset(np.flatnonzero(labels == k).tolist()) for k in set(labels.tolist())} == {frozenset(g) for g in groups}
+
+
+def test_store_appends_and_survives_a_torn_pointer(spark, tmp_path):
+    store = FaceStore(spark, str(tmp_path / "faces"))
+    row = spark.createDataFrame([(0, "s", 0, [1.0, 0.0])], "id long, source string, frame_idx int, embedding array<float>")
+    for _ in range(8):
+        store.add(row, 1.0)
+    assert sorted(r["id"] for r in store.read().collect()) == list(range(1, 9)) and len(store.meta()["parts"]) == 8
+    assert len(list((tmp_path / "faces" / "pointers").glob("*.json"))) == store.POINTERS
+    (tmp_path / "faces" / "pointers" / "99999999999999999999.json").write_text("{torn")
+    assert store.read().count() == 8
+    (tmp_path / "faces" / "pointers" / "99999999999999999999.json").unlink()
+    store.assign(store.read().select("id", F.lit(1).alias("cluster_id"), F.lit("p").alias("person_id")))
+    for _ in range(store.POINTERS):
+        store.note(x=1)
+    assert len(list((tmp_path / "faces").glob("part-*"))) == 1 and store.labelled().count() == 8
+
+
 def test_pixels():
     rng = np.random.default_rng(0)
     assert images.sharpness(rng.integers(0, 255, (40, 40, 3))) > 45 and images.sharpness(np.full((40, 40, 3), 128)) == 0
