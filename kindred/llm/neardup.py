@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import POSITION, drop, materialize, mix, offsets, release, shingle_sets, slices, strings
+from kindred.llm.common import POSITION, materialize, mix, offsets, release, shingle_sets, slices, strings
+from kindred.operators import graphs
 
 PERMUTATIONS, ROWS, TILE = 100, 5, 512
 #: Shingles of a tile's side, about; a tile of longer texts has fewer classes.
@@ -150,24 +151,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(x, c) for every end x of a link (a, b): c is the smallest id that x reaches.
-
-    Each round a node takes the least label among its neighbours', then its label's label, so rounds grow with the
-    logarithm of a component's width. Adaptive execution splits the joins of a node with very many links."""
-    edges = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = materialize(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), F.least("a", "m").alias("c")))
-    before = labels
-    while True:
-        offered = edges.join(labels.select(F.col("x").alias("b"), F.col("c").alias("o")), "b").groupBy("a").agg(F.min("o").alias("m")).select(F.col("a").alias("x"), "m")
-        lower = labels.join(offered, "x").select("x", F.col("c").alias("was"), F.least("c", "m").alias("c"))
-        short = labels.select(F.col("x").alias("c"), F.col("c").alias("cc"))
-        after = materialize(lower.join(short, "c", "left").select("x", "was", F.least("c", F.coalesce("cc", "c")).alias("c")))
-        done = after.filter("c <> was").isEmpty()
-        drop(before)
-        labels, before = after.select("x", "c"), after
-        if done:
-            drop(edges)
-            return labels
+    """(x, c) for every end x of a link (a, b), always in rounds: links grow with the documents."""
+    return graphs.components(links, small=0)
 
 
 def _tiled(entries: DataFrame) -> DataFrame:
