@@ -253,6 +253,7 @@ def test_images_end_to_end(spark, tmp_path, identities):
 def small_engine(spark, tmp_path, **more):
     cfg = Config(quality=Quality(enabled=False), clustering=Clustering(algorithm="dbscan", min_cluster_size=4), **more)
     cfg.output.db_path, cfg.prototypes.path, cfg.output.dir = str(tmp_path / "faces"), str(tmp_path / "prototypes"), str(tmp_path / "out")
+    cfg.classifier.path = str(tmp_path / "classifier")
     return Engine(spark, cfg)
 
 
