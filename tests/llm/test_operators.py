@@ -533,6 +533,13 @@ def test_encoder_equals_the_library(own):
         assert own.decode(ids) == tok.decode(e.ids, skip_special_tokens=False), t
 
 
+def test_added_tokens_that_words_may_be_are_refused():
+    spec = json.loads(bpe.vocabulary(WORDS))
+    for change in ({"content": "plain"}, {"content": "<| a"}, {"lstrip": True}):
+        with pytest.raises(ValueError):
+            bpe.WordBpe(json.dumps(spec | {"added_tokens": [spec["added_tokens"][0] | change]}))
+
+
 def test_encoder_on_tables(spark):
     tok = Tokenizer.from_file(WORDS)
     got = {r["doc_id"]: tuple(r)[1:] for r in bpe.round_trip(docs(spark), WORDS).collect()}
